@@ -1,11 +1,12 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
-from . import decontaminate, langid, mixing, quality, simhash
+from . import decontaminate, langid, mixing, pii, quality, simhash
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_pii": pii.op6_pii,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
