@@ -1,12 +1,13 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
-from . import decontaminate, langid, mixing, pii, quality, simhash
+from . import decontaminate, langid, mixing, pii, quality, sharding, simhash
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_pii": pii.op6_pii,
+    "op7_sharding": sharding.op7_sharding,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
