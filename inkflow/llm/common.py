@@ -102,3 +102,9 @@ def words(text: str = "text") -> str:
 def _sql(pattern: str) -> str:
     """A regular expression inside a Spark SQL string literal."""
     return pattern.replace("\\", "\\\\")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, k, text): k is 0, but a hash of the text where several rows share the id."""
+    again = Stored(docs.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("again"))).small()
+    return docs.select("doc_id", "text").join(again, F.expr("doc_id <=> id"), "left").select("doc_id", F.expr("if(again, xxhash64(doc_id, text), 0L)").alias("k"), "text")

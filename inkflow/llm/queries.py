@@ -1,8 +1,9 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
-from . import decontaminate, langid, mixing, pii, quality, sharding, simhash
+from . import decontaminate, langid, mixing, pii, quality, sharding, simhash, suffix
 
 QUERIES = {
+    "op1_suffix_dedup": suffix.op1_suffix_dedup,
     "op2_language_id": langid.op2_language_id,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_decontaminate": decontaminate.op4_decontaminate,
