@@ -26,6 +26,8 @@ from .common import Stored, _sql, documents, row_key, store, table
 WINDOW = 13
 #: Windows in one broadcast block; each holds up to 13 words and its item ids.
 BLOCK_WINDOWS = 200_000
+#: Words of a segment of a document, without its overlaps.
+SEGMENT = 128
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,7 +57,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
     total = wins.count()
     blocks = max(1, -(-total // BLOCK_WINDOWS))
     placed = store(prefixes(wins, docs))
-    found = [_matches(docs, placed.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == b) if blocks > 1 else placed, header=b == 0) for b in range(blocks)]
+    found = [_matches(docs, placed.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == b) if blocks > 1 else placed, b == 0, size) for b in range(blocks)]
     rows = reduce(DataFrame.unionByName, found)
     by_doc = rows.groupBy("doc_id", "k").agg(
         F.max("n_words").alias("n_words"), F.sum("head").alias("copies"), F.flatten(F.collect_set("hits")).alias("hits")
@@ -71,16 +73,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
     ).drop("copy")
 
 
-def _matches(docs: DataFrame, placed: DataFrame, header: bool) -> DataFrame:
-    """Verified windows of each document, and with ``header`` one row without any for every document."""
+def _matches(docs: DataFrame, placed: DataFrame, header: bool, size: int) -> DataFrame:
+    """Verified windows of each document, and with ``header`` one row without any for every document.
+
+    Documents are cut into segments that overlap by a window on both sides, so a token's row holds
+    only the words that a window around it can need, however long the document is."""
     by_token = F.broadcast(placed.groupBy("token").agg(F.collect_list(F.struct("off", "win", "items")).alias("cands")))
     base = docs.select("doc_id", row_key().alias("k"), F.expr(_words()).alias("w"))
-    tokens = base.select("doc_id", "k", "w", F.posexplode(F.expr("concat(array(cast(null as string)), w)")).alias("at", "token"))
-    joined = tokens.join(by_token, "token", "left" if header else "inner")
-    verified = """transform(filter(coalesce(cands, array()), c -> at - 1 >= c.off and at - 1 - c.off + size(c.win) <= size(w)
-        and slice(w, at - c.off, size(c.win)) = c.win), c -> struct(at - 1 - c.off as start, size(c.win) as len, c.items as items))"""
-    kept = joined.where("at = 0 or cands is not null") if header else joined
-    return kept.select("doc_id", "k", F.expr("cast(size(w) as bigint)").alias("n_words"), F.expr("if(at = 0, 1L, 0L)").alias("head"), F.expr(verified).alias("hits")).where("head = 1 or size(hits) > 0")
+    edge = size - 1
+    cut = f"""transform(if(size(w) = 0, array(0), sequence(0, greatest(size(w) - 1, 0), {SEGMENT})),
+        s -> struct(s as s, least(s, {edge}) as lead, slice(w, greatest(s - {edge}, 0) + 1, least(s, {edge}) + {SEGMENT + edge}) as seg))"""
+    segments = base.select("doc_id", "k", F.expr("cast(size(w) as bigint)").alias("n_words"), F.explode(F.expr(cut)).alias("x")).select("doc_id", "k", "n_words", "x.s", "x.lead", "x.seg")
+    # position 0 stands for the segment itself; tokens count from 1
+    tokens = segments.select("*", F.posexplode(F.expr(f"concat(array(cast(null as string)), slice(seg, lead + 1, {SEGMENT}))")).alias("at", "token"))
+    kept = tokens.join(by_token, "token", "left").where("(at = 0 and s = 0) or cands is not null") if header else tokens.join(by_token, "token")
+    verified = """transform(filter(coalesce(cands, array()), c -> lead + at - 1 >= c.off and lead + at - 1 - c.off + size(c.win) <= size(seg)
+        and slice(seg, lead + at - c.off, size(c.win)) = c.win), c -> struct(s + at - 1 - c.off as start, size(c.win) as len, c.items as items))"""
+    return kept.select("doc_id", "k", "n_words", F.expr("if(at = 0, 1L, 0L)").alias("head"), F.expr(verified).alias("hits"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
-from . import decontaminate, langid, mixing, pii, quality, sharding, simhash, suffix
+from . import chunking, decontaminate, langid, mixing, pii, quality, sharding, simhash, suffix
 
 QUERIES = {
     "op1_suffix_dedup": suffix.op1_suffix_dedup,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_pii": pii.op6_pii,
     "op7_sharding": sharding.op7_sharding,
+    "op8_substring_dedup": chunking.op8_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
