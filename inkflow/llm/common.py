@@ -108,3 +108,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, k, text): k is 0, but a hash of the text where several rows share the id."""
     again = Stored(docs.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("again"))).small()
     return docs.select("doc_id", "text").join(again, F.expr("doc_id <=> id"), "left").select("doc_id", F.expr("if(again, xxhash64(doc_id, text), 0L)").alias("k"), "text")
+
+
+def rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each (id, key, m, ...) of ``wanted``, with its other columns.
+
+    ``key`` is the row's ``row_key`` and m how often the row is there. Only rows that are there
+    several times are grouped; the others' texts are not shuffled if ``wanted`` is small."""
+    keyed_docs = docs.withColumn("__key", row_key())
+    found = keyed_docs.join(Stored(wanted).small(), F.expr("__key = key and doc_id <=> id")).drop("id", "key")
+    return found.where("m = 1").union(found.where("m > 1").dropDuplicates(["doc_id", "__key"])).drop("__key", "m")

@@ -52,7 +52,7 @@ def prefixes(wins: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = 20) -> DataFrame:
-    """One row per document: its hit words and items; contaminated if ``share * n_hit >= n_words``."""
+    """One row per document: its ``row_key`` as k, hit words and items; contaminated if ``share * n_hit >= n_words``."""
     wins = store(windows(benchmark, size))
     total = wins.count()
     blocks = max(1, -(-total // BLOCK_WINDOWS))
@@ -63,12 +63,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
         F.max("n_words").alias("n_words"), F.sum("head").alias("copies"), F.flatten(F.collect_set("hits")).alias("hits")
     )
     done = by_doc.select(
-        "doc_id", "n_words", "copies",
+        "doc_id", "k", "n_words", "copies",
         F.expr("cast(size(array_distinct(flatten(transform(hits, h -> sequence(h.start, h.start + h.len - 1))))) as bigint)").alias("n_hit"),
         F.expr("array_sort(array_distinct(flatten(transform(hits, h -> h.items))))").alias("ids"),
     )
     return done.select(
-        "doc_id", "n_words", "n_hit", F.expr("cast(size(ids) as bigint)").alias("n_items"), F.expr("sha2(array_join(ids, ','), 256)").alias("items_sha256"),
+        "doc_id", "k", "n_words", "n_hit", F.expr("cast(size(ids) as bigint)").alias("n_items"), F.expr("sha2(array_join(ids, ','), 256)").alias("items_sha256"),
         F.expr(f"n_hit > 0 and {share} * n_hit >= n_words").alias("contaminated"), F.expr("explode(sequence(1L, copies))").alias("copy"),
     ).drop("copy")
 
@@ -94,7 +94,7 @@ def _matches(docs: DataFrame, placed: DataFrame, header: bool, size: int) -> Dat
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words of every document against every benchmark item."""
-    return contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("k")
 
 
 _W = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

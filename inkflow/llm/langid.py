@@ -148,6 +148,8 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
     """``keep`` columns with lang_pred and score; ``docs`` has them and ``text``."""
     names = list(prototypes)
+    sent = keep if "text" in keep else [*keep, "text"]
+    place = sent.index("text")
     matrix = np.array([prototypes[x] for x in names], np.float32).reshape(len(names), DIM)
     fields = [docs.schema[x] for x in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
@@ -155,7 +157,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str])
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = letter_table()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(place).to_pylist()
             pred, scores = [], []
             for _, part in chunks(texts):
                 v = vectors(part, table)
@@ -171,7 +173,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str])
                 scores += [float(t) if n > 0 else 0.0 for t, n in zip(top, norm)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").alias("_t")).mapInArrow(score, schema)
+    return docs.select(*(F.col(f"`{x}`") for x in sent)).mapInArrow(score, schema)
 
 
 def held_out():
