@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, keyed, partitions
+from .common import documents, in_arrow, keyed, partitions
 from .removal import SPANS, binary_rows, joined, pack, remove, span_batch, unpack
 from .suffix import multikey_sort
 
@@ -157,8 +157,8 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def duplicate_chunks(docs: DataFrame) -> DataFrame:
     """SPANS of duplicate chunks; ``docs`` is (doc_id, k, text)."""
     n = partitions(docs.sparkSession)
-    sent = docs.select("doc_id", "k", "text").mapInArrow(emit(4 * n), "bucket int, kind byte, block binary")
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(resolve, SPANS)
+    sent = docs.select("doc_id", "k", "text").transform(in_arrow, emit(4 * n), "bucket int, kind byte, block binary")
+    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").transform(in_arrow, resolve, SPANS)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

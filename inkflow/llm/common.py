@@ -26,6 +26,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+#: Rows reach Python in batches of at most so many bytes: a worker and its JVM hold a few at a time.
+ARROW_BYTES, _ARROW_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of bounded size."""
+    df.sparkSession.conf.set(_ARROW_CONF, str(ARROW_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is configured."""
     found = spark.conf.get("spark.checkpoint.dir", None)

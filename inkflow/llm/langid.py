@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_crc, store
+from .common import documents, id_crc, in_arrow, store
 
 DIM = 1024
 #: Documents and characters that are counted at a time, and trigrams whose vectors are made at a time.
-DOCS, CHARS, GRAMS = 256, 1 << 20, 8192
+DOCS, CHARS, GRAMS = 256, 1 << 20, 4096
 #: Labels are few; more than this is a mistake in the input.
 MAX_LANGS = 10_000
 UNKNOWN = "und"
@@ -131,7 +131,7 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
-    parts = store(docs.where("lang is not null").select("text", "lang").mapInArrow(partial, "lang string, v array<double>"))
+    parts = store(docs.where("lang is not null").select("text", "lang").transform(in_arrow, partial, "lang string, v array<double>"))
     rows = parts.select("lang", F.posexplode("v").alias("j", "x")).groupBy("lang", "j").agg(F.sum("x").alias("x"))
     # integers, so that the order in which parts are added doesn't show
     rows = rows.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("j", F.expr("cast(round(x * 1e6) as bigint)").alias("x")))).alias("v"))
@@ -173,7 +173,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str])
                 scores += [float(t) if n > 0 else 0.0 for t, n in zip(top, norm)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*(F.col(f"`{x}`") for x in sent)).mapInArrow(score, schema)
+    return docs.select(*(F.col(f"`{x}`") for x in sent)).transform(in_arrow, score, schema)
 
 
 def held_out():

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Stored, documents, row_key
+from .common import BROADCAST_BYTES, Stored, documents, in_arrow, row_key
 
 KINDS = ("email", "ip", "card", "phone")
 REACH, SUPPORT, DISCLOSURE = 5, 2, 0.8
@@ -126,7 +126,7 @@ def base(docs: DataFrame) -> DataFrame:
                  pa.array(cands, pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("s", pa.int32()), ("e", pa.int32())])))], names=["doc_id", "k", "spans", "cands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", row_key().alias("k"), "text").mapInArrow(run, f"doc_id {kind}, k long, spans array<struct<s:int,kind:int,e:int>>, cands array<struct<entity:string,term:string,s:int,e:int>>")
+    return docs.select("doc_id", row_key().alias("k"), "text").transform(in_arrow, run, f"doc_id {kind}, k long, spans array<struct<s:int,kind:int,e:int>>, cands array<struct<entity:string,term:string,s:int,e:int>>")
 
 
 def term_counts(docs: DataFrame, terms: Stored) -> DataFrame:
@@ -146,7 +146,7 @@ def term_counts(docs: DataFrame, terms: Stored) -> DataFrame:
                 counts = Counter()
         yield _counted(counts)
 
-    parts = docs.select("text").mapInArrow(run, "term string, n long")
+    parts = docs.select("text").transform(in_arrow, run, "term string, n long")
     if wanted is None:
         parts = parts.join(terms.df, "term", "left_semi")
     return parts.groupBy("term").agg(F.sum("n").alias("n"))

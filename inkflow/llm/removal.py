@@ -12,6 +12,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 SPANS = "doc_id long, k long, s long, e long"
 
 
@@ -91,7 +93,7 @@ def remove(docs: DataFrame, spans: DataFrame, least: int = 1, texts: bool = Fals
                 arrays.append(pa.array(cols[5], pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_found", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * texts)
 
-    return both.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_found long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+    return both.transform(in_arrow, run, f"doc_id {kind}, n_bytes long, n_found long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
 
 
 def binary_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, documents, id_crc, partitions
+from .common import Stored, documents, id_crc, in_arrow, partitions
 from .removal import pack, unpack
 
 #: Bytes of text of a block, and of a piece that is split into words at a time.
@@ -127,7 +127,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         for fold in sorted(held):
             yield out(fold)
 
-    return docs.select("doc_id", "fold", "text").mapInArrow(run, f"block long, fold int, ids array<{kind}>, data binary")
+    return docs.select("doc_id", "fold", "text").transform(in_arrow, run, f"block long, fold int, ids array<{kind}>, data binary")
 
 
 def bucket_of(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
@@ -291,8 +291,8 @@ def score(docs: DataFrame) -> DataFrame:
     ``fold``: FIT and DELETED documents train, the latter also weigh; HELD_OUT ones are only scored."""
     n = partitions(docs.sparkSession)
     own = Stored(blocks(docs)).df
-    asked = own.select("block", "fold", "data").mapInArrow(requests(4 * n), "part int, block long, fold int, kind byte, bucket int, data binary")
-    given = Stored(asked.repartition(n, "part").sortWithinPartitions("part").mapInArrow(answers, "block long, kind byte, bucket int, data binary, v long, n long, v_fit long, n_fit long")).df
+    asked = own.select("block", "fold", "data").transform(in_arrow, requests(4 * n), "part int, block long, fold int, kind byte, bucket int, data binary")
+    given = Stored(asked.repartition(n, "part").sortWithinPartitions("part").transform(in_arrow, answers, "block long, kind byte, bucket int, data binary, v long, n long, v_fit long, n_fit long")).df
     total = given.where(f"kind = {STATS}").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("v", "n", "v_fit", "n_fit"))).first()
     whole = own.select("block", "fold", "ids", F.expr("cast(-1 as byte) as kind"), F.expr("0 as bucket"), "data")
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, documents, store
+from .common import Stored, documents, in_arrow, store
 from .graph import components, local_components, trees
 
 SHINGLE, SEED = 3, 42
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").transform(in_arrow, run, f"doc_id {kind}, fp long")
 
 
 def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +180,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) of every document."""
     prints = store(fingerprints(docs, shingle))
     distinct = Stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"))).df
-    met = distinct.select("fp").mapInArrow(variants, "key long, ball byte, fp long").repartition("key").sortWithinPartitions("key", "ball")
-    labels = components(met.mapInArrow(links, "u long, v long"))
+    met = distinct.select("fp").transform(in_arrow, variants, "key long, ball byte, fp long").repartition("key").sortWithinPartitions("key", "ball")
+    labels = components(met.transform(in_arrow, links, "u long, v long"))
     linked = labels.join(distinct, labels.node == distinct.fp).select("fp", "root", "least")
     lowest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_linked = linked.join(lowest, "root").select("fp", "component_id")

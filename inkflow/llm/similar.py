@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, partitions, row_key, store
+from .common import Stored, in_arrow, partitions, row_key, store
 from .graph import components
 from .simhash import DENSE, SEED, _dense, _lookup
 
@@ -82,7 +82,7 @@ def printed(docs: DataFrame) -> DataFrame:
                 prints.append(word_prints(w).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "k", "node", "prints"])
 
-    return docs.select("doc_id", row_key().alias("k"), "text").mapInArrow(run, f"doc_id {kind}, k long, node long, prints array<long>")
+    return docs.select("doc_id", row_key().alias("k"), "text").transform(in_arrow, run, f"doc_id {kind}, k long, node long, prints array<long>")
 
 
 def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,14 +203,14 @@ def groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
     first = store(each.groupBy("place", "fp").agg(F.min("node").alias("node"), F.count("*").alias("n")))
     shared = Stored(first.where("n > 1").select("place", "fp", F.col("node").alias("u")))
     equal = each.join(shared.small(), ["place", "fp"]).where("u <> node").select("u", F.col("node").alias("v"))
-    met = first.select("place", "fp", "node").mapInArrow(variants, "key long, ball byte, fp long, node long").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "ball")
-    candidates = store(met.mapInArrow(links, "u long, v long").union(equal).distinct())
+    met = first.select("place", "fp", "node").transform(in_arrow, variants, "key long, ball byte, fp long, node long").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "ball")
+    candidates = store(met.transform(in_arrow, links, "u long, v long").union(equal).distinct())
     wanted = Stored(candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "least.doc_id", "least.k"))
     texts = docs.select(F.col("doc_id").alias("own_id"), row_key().alias("own_k"), "text")
     # a row that is there several times gives the same shingles
-    sets = store(texts.join(wanted.small(), F.expr("own_k = k and own_id <=> doc_id")).select("node", "text").mapInArrow(shingled, "node long, grams binary").dropDuplicates(["node"]))
+    sets = store(texts.join(wanted.small(), F.expr("own_k = k and own_id <=> doc_id")).select("node", "text").transform(in_arrow, shingled, "node long, grams binary").dropDuplicates(["node"]))
     pairs = candidates.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
-    labels = components(store(pairs.select("u", "v", "a", "b").mapInArrow(verified(least), "u long, v long")))
+    labels = components(store(pairs.select("u", "v", "a", "b").transform(in_arrow, verified(least), "u long, v long")))
     linked = labels.join(nodes.select("node", "least"), "node")
     lowest = linked.groupBy("root").agg(F.min("least").alias("first"))
     of_node = nodes.select("node", "least").join(linked.select("node", "root").join(lowest, "root").select("node", "first"), "node", "left").select("node", F.coalesce("first", "least").alias("first"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keyed, partitions
+from .common import documents, in_arrow, keyed, partitions
 from .removal import SPANS, binary_rows, joined, pack, remove, span_batch, unpack
 
 WIDTH, ANCHOR = 50, 16
@@ -297,7 +297,7 @@ def splitters(docs: DataFrame, buckets: int) -> np.ndarray:
             lead = as_words(chunk.rows[0][0][:, :8])[0]
             yield pa.RecordBatch.from_arrays([pa.array([lead[::8].tobytes()], pa.binary())], names=["lead"])
 
-    found = [r.lead for r in part.select("doc_id", F.lit(0).cast("long").alias("k"), "text").mapInArrow(run, "lead binary").collect()]
+    found = [r.lead for r in part.select("doc_id", F.lit(0).cast("long").alias("k"), "text").transform(in_arrow, run, "lead binary").collect()]
     lead = np.unique(np.frombuffer(b"".join(bytes(x) for x in found), np.uint64))
     return lead[np.linspace(0, len(lead) - 1, buckets + 1).astype(int)[1:-1]] if len(lead) > buckets else lead
 
@@ -306,8 +306,8 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     """SPANS of the bytes that 50-byte strings of smaller documents cover; ``docs`` is (doc_id, k, text)."""
     spark = docs.sparkSession
     cuts = splitters(docs.select("doc_id", "text"), 4 * partitions(spark))
-    sent = docs.select("doc_id", "k", "text").mapInArrow(emit(cuts), "bucket int, kind byte, block binary")
-    return sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(resolve, SPANS)
+    sent = docs.select("doc_id", "k", "text").transform(in_arrow, emit(cuts), "bucket int, kind byte, block binary")
+    return sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").transform(in_arrow, resolve, SPANS)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
