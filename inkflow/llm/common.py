@@ -29,6 +29,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Rows reach Python in batches of at most so many bytes: a worker and its JVM hold a few at a time.
 ARROW_BYTES, _ARROW_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
+_CLEAN_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` with batches of bounded size."""
@@ -68,7 +70,13 @@ class Stored:
     def __init__(self, df: DataFrame):
         spark = df.sparkSession
         self.path = f"{shared_dir(spark)}/inkflow/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        # the shuffle files behind a written table aren't read again
+        before = spark.conf.get(_CLEAN_CONF)
+        spark.conf.set(_CLEAN_CONF, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(self.path)
+        finally:
+            spark.conf.set(_CLEAN_CONF, before)
         self.df = spark.read.schema(df.schema).parquet(self.path)
         path, fs = _path(spark, self.path)
         self.bytes = fs.getContentSummary(path).getLength()

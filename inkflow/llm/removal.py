@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow
+from .common import in_arrow, store
 
 SPANS = "doc_id long, k long, s long, e long"
 
@@ -68,7 +68,7 @@ def remove(docs: DataFrame, spans: DataFrame, least: int = 1, texts: bool = Fals
     ``docs`` is (doc_id, k, text) and ``spans`` of type SPANS, in bytes. Runs of fewer than ``least``
     bytes stay, unless they are the whole text. Cut texts need not be whole UTF-8, so ``kept`` is binary.
     """
-    own = spans.groupBy("doc_id", "k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    own = store(spans).groupBy("doc_id", "k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     both = docs.join(own, ["doc_id", "k"], "left").select("doc_id", F.expr("cast(coalesce(text, '') as binary)").alias("text"), "spans.s", "spans.e")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
