@@ -55,7 +55,7 @@ def wh_ratio(w: str, h: str) -> str:
 
 def class_width(w: str, h: str, height: int, most: int) -> Column:
     """Width of a line scaled to the orientation model's height, at most its width."""
-    return F.expr(f"least(cast(ceil({height} * {wh_ratio(w, h)}) as int), {most})")
+    return F.expr(f"least(cast(ceil({height}F * {wh_ratio(w, h)}) as int), {most})")
 
 
 def line_width(ratio: str, batch_ratio: str, height: int = 48, width: int = 320) -> Column:
@@ -134,18 +134,18 @@ def order_points_sql(points: str) -> str:
     A diamond (corners level with and above the centre) goes left, top, right, bottom; points on one
     vertical line go by y; else the points are halved by y if some are above the centre and none is
     level with it, and by x if not."""
-    mid = lambda c: f"(aggregate({points}, 0D, (a, p) -> a + p.{c}) / 4D)"
-    any_x, any_y = (f"exists({points}, p -> p.{c} = {mid(c)})" for c in "xy")
+    mid = lambda c: f"(aggregate({points}, 0D, (sum_, at_) -> sum_ + at_.{c}) / 4D)"
+    any_x, any_y = (f"exists({points}, at_ -> at_.{c} = {mid(c)})" for c in "xy")
 
     def pick(of: str, c: str, m: str) -> str:
-        return f"get(filter({of}, p -> p.{c} = array_{m}(transform({of}, q -> q.{c}))), 0)"
+        return f"get(filter({of}, at_ -> at_.{c} = array_{m}(transform({of}, of_ -> of_.{c}))), 0)"
 
-    upper, lower, left, right = (f"filter({points}, p -> p.{c} {op} {mid(c)})" for c, op in (("y", "<"), ("y", ">"), ("x", "<"), ("x", ">")))
+    upper, lower, left, right = (f"filter({points}, at_ -> at_.{c} {op} {mid(c)})" for c, op in (("y", "<"), ("y", ">"), ("x", "<"), ("x", ">")))
     diamond = [pick(points, "x", "min"), pick(points, "y", "min"), pick(points, "x", "max"), pick(points, "y", "max")]
     by_y = [pick(upper, "x", "min"), pick(upper, "x", "max"), pick(lower, "x", "max"), pick(lower, "x", "min")]
     by_x = [pick(left, "y", "min"), pick(right, "y", "min"), pick(right, "y", "max"), pick(left, "y", "max")]
-    line = f"transform(array_sort(transform({points}, (p, i) -> named_struct('y', p.y, 'i', i, 'p', p))), s -> s.p)"
+    line = f"transform(array_sort(transform({points}, (at_, i_) -> named_struct('y', at_.y, 'i', i_, 'at', at_))), of_ -> of_.at)"
     level = f"not {any_y}"
     return f"""case when {any_x} and {any_y} then array({', '.join(diamond)})
-        when forall({points}, p -> p.x = {mid('x')}) then {line}
+        when forall({points}, at_ -> at_.x = {mid('x')}) then {line}
         when {any_x} and {level} then array({', '.join(by_y)}) else array({', '.join(by_x)}) end"""

@@ -24,5 +24,6 @@ def stage_times(stream: DataFrame, stage: str, ms: str) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """A Parquet table as a stream of its files."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """A Parquet table, a file or a folder of files, as a stream of its files."""
+    exactly = f"{path[:-1]}[{path[-1]}]"  # the source takes a single file only by a pattern
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(exactly)
