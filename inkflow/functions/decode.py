@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .geometry import bound
+
 
 def best_sql(scores: str) -> str:
     """struct(i, v): place and value of the first greatest score; (0, null) if there is none."""
@@ -28,23 +30,23 @@ def argmax_steps(probs: str) -> Column:
 
 def kept_steps(best: str) -> Column:
     """Steps that start a run of one class other than the blank, class 0."""
-    first = f"t = 0 or {best}[t].i <> {best}[greatest(t - 1, 0)].i"
-    return F.expr(f"if(size({best}) > 0, filter(sequence(0, greatest(size({best}), 1) - 1), t -> ({first}) and {best}[t].i <> 0), cast(array() as array<int>))")
+    first = "t = 0 or b[t].i <> b[greatest(t - 1, 0)].i"
+    return F.expr(bound(best, "b", f"if(size(b) > 0, filter(sequence(0, greatest(size(b), 1) - 1), t -> ({first}) and b[t].i <> 0), cast(array() as array<int>))"))
 
 
 def chars(best: str, kept: str, alphabet: str) -> Column:
     """The kept steps' entries of the alphabet, one for each step."""
-    return F.expr(f"transform({kept}, t -> {alphabet}[{best}[t].i])")
+    return F.expr(bound(f"named_struct('a', {alphabet}, 'b', {best})", "v", f"transform({kept}, t -> v.a[v.b[t].i])"))
 
 
 def confidences(best: str, kept: str) -> Column:
     """Scores of the kept steps to five places, halves to even; a single 0 if none is kept."""
-    return F.expr(f"if(size({kept}) > 0, transform({kept}, t -> bround(cast({best}[t].v as double), 5)), array(0D))")
+    return F.expr(bound(f"named_struct('k', {kept}, 'b', {best})", "v", "if(size(v.k) > 0, transform(v.k, t -> bround(cast(v.b[t].v as double), 5)), array(0D))"))
 
 
 def mean_score(confs: str) -> Column:
     """The mean of the confidences to five places."""
-    return F.expr(f"bround(aggregate({confs}, 0D, (a, x) -> a + x, a -> a / size({confs})), 5)")
+    return F.expr(bound(confs, "v", "bround(aggregate(v, 0D, (a, x) -> a + x, a -> a / size(v)), 5)"))
 
 
 def line_length(steps: str, wh_ratio: str, max_wh_ratio: str) -> Column:

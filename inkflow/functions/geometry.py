@@ -10,6 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` for a value that is then evaluated once a row.
+
+    The optimiser merges projections: a column that is named once in a lambda would be computed
+    again for every element."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _snapped(side: str, ratio: str) -> str:
     """A scaled side to the nearest multiple of 32, halves away from zero both times."""
     return f"cast(round(round(cast(cast({side} as float) * {ratio} as double)) / 32) * 32 as int)"
@@ -26,8 +34,7 @@ def resize_bounds(w: str, h: str, longest: int = 2000, shortest: int = 30) -> Co
     bad = "least(a.w, a.h, b.w, b.h) <= 0"
     out = f"""named_struct('w', if({bad}, null, b.w), 'h', if({bad}, null, b.h),
         'ratio_w', if({bad}, null, cast(cast({w} as float) / b.w as float)), 'ratio_h', if({bad}, null, cast(cast({h} as float) / b.h as float)), 'error', if({bad}, 'a side becomes 0', null))"""
-    # transform over one element names the intermediate structs
-    return F.expr(f"transform(array({first}), a -> transform(array({second}), b -> {out})[0])[0]")
+    return F.expr(bound(first, "a", bound(second, "b", out)))
 
 
 def vertical_padding(w: str, h: str, ratio: float = 8.0, least_height: int = 30) -> Column:
@@ -77,7 +84,7 @@ def distance(box: str, i: int, j: int) -> str:
 
 def box_size(box: str) -> Column:
     """struct(width, height); null unless there are four corners."""
-    return F.expr(f"if(size({box}) = 4, named_struct('width', {distance(box, 0, 1)}, 'height', {distance(box, 0, 3)}), null)")
+    return F.expr(bound(box, "q_", f"if(size(q_) = 4, named_struct('width', {distance('q_', 0, 1)}, 'height', {distance('q_', 0, 3)}), null)"))
 
 
 def normalize_box(box: str, w: str, h: str, to_w: str, to_h: str) -> Column:
@@ -93,7 +100,7 @@ def clip_box(box: str, w: str, h: str) -> Column:
 
 def large_enough(box: str, side: float = 3) -> Column:
     """Whether both sides exceed ``side``."""
-    return F.expr(f"{distance(box, 0, 1)} > {side} and {distance(box, 0, 3)} > {side}")
+    return F.expr(bound(box, "q_", f"{distance('q_', 0, 1)} > {side} and {distance('q_', 0, 3)} > {side}"))
 
 
 def map_to_original(box: str, pad_left: str, pad_top: str, ratio_w: str, ratio_h: str, w: str, h: str) -> Column:
@@ -104,23 +111,24 @@ def map_to_original(box: str, pad_left: str, pad_top: str, ratio_w: str, ratio_h
 def unclip(box: str, ratio: float = 1.6) -> Column:
     """A rectangle grown on all sides by area * ratio / perimeter: what growing with round corners
     and taking the least rectangle around comes to. Null for a rectangle without area."""
-    wide, high = distance(box, 0, 1), distance(box, 0, 3)
-    d = f"({wide} * {high} * {ratio} / (2 * ({wide} + {high})))"
+    sides = f"named_struct('w', {distance('q_', 0, 1)}, 'h', {distance('q_', 0, 3)})"
     corner = lambda i, u, v: ", ".join(
-        f"'{c}', {box}[{i}].{c} + {u} * {d} * ({box}[1].{c} - {box}[0].{c}) / {wide} + {v} * {d} * ({box}[3].{c} - {box}[0].{c}) / {high}" for c in "xy")
+        f"'{c}', q_[{i}].{c} + {u} * d_ * (q_[1].{c} - q_[0].{c}) / s_.w + {v} * d_ * (q_[3].{c} - q_[0].{c}) / s_.h" for c in "xy")
     corners = ", ".join(f"named_struct({corner(i, u, v)})" for i, (u, v) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1))))
-    return F.expr(f"if({wide} > 0 and {high} > 0, array({corners}), null)")
+    grown = bound(f"s_.w * s_.h * {ratio} / (2 * (s_.w + s_.h))", "d_", f"array({corners})")
+    return F.expr(bound(box, "q_", bound(sides, "s_", f"if(s_.w > 0 and s_.h > 0, {grown}, null)")))
 
 
 def bounding_rect(points: str) -> Column:
     """struct(x_min, y_min, x_max, y_max) of an array of points."""
-    return F.expr("named_struct(" + ", ".join(f"'{c}_{m}', array_{m}(transform({points}, p -> p.{c}))" for m in ("min", "max") for c in "xy") + ")")
+    return F.expr(bound(points, "q_", "named_struct(" + ", ".join(f"'{c}_{m}', array_{m}(transform(q_, p -> p.{c}))" for m in ("min", "max") for c in "xy") + ")"))
 
 
 def direction(box: str) -> Column:
     """VERTICAL if a box without width, or at least half as high again as wide (to two places), else HORIZONTAL."""
-    wide, high = (f"greatest({distance(box, *a)}, {distance(box, *b)})" for a, b in (((0, 1), (2, 3)), ((1, 2), (3, 0))))
-    return F.expr(f"case when {wide} < 1e-6D then 'VERTICAL' when bround({high} / {wide}, 2) >= 1.5D then 'VERTICAL' else 'HORIZONTAL' end")
+    wide, high = (f"greatest({distance('q_', *a)}, {distance('q_', *b)})" for a, b in (((0, 1), (2, 3)), ((1, 2), (3, 0))))
+    turn = "case when s_.w < 1e-6D then 'VERTICAL' when bround(s_.h / s_.w, 2) >= 1.5D then 'VERTICAL' else 'HORIZONTAL' end"
+    return F.expr(bound(box, "q_", bound(f"named_struct('w', {wide}, 'h', {high})", "s_", turn)))
 
 
 def order_points(points: str) -> Column:
@@ -134,18 +142,17 @@ def order_points_sql(points: str) -> str:
     A diamond (corners level with and above the centre) goes left, top, right, bottom; points on one
     vertical line go by y; else the points are halved by y if some are above the centre and none is
     level with it, and by x if not."""
-    mid = lambda c: f"(aggregate({points}, 0D, (sum_, at_) -> sum_ + at_.{c}) / 4D)"
-    any_x, any_y = (f"exists({points}, at_ -> at_.{c} = {mid(c)})" for c in "xy")
+    mid = ", ".join(f"'{c}', aggregate(p_, 0D, (sum_, at_) -> sum_ + at_.{c}) / 4D" for c in "xy")
+    halves = ", ".join(f"'{name}', filter(p_, at_ -> at_.{c} {op} m_.{c})" for name, c, op in (("upper", "y", "<"), ("lower", "y", ">"), ("left", "x", "<"), ("right", "x", ">")))
 
     def pick(of: str, c: str, m: str) -> str:
         return f"get(filter({of}, at_ -> at_.{c} = array_{m}(transform({of}, of_ -> of_.{c}))), 0)"
 
-    upper, lower, left, right = (f"filter({points}, at_ -> at_.{c} {op} {mid(c)})" for c, op in (("y", "<"), ("y", ">"), ("x", "<"), ("x", ">")))
-    diamond = [pick(points, "x", "min"), pick(points, "y", "min"), pick(points, "x", "max"), pick(points, "y", "max")]
-    by_y = [pick(upper, "x", "min"), pick(upper, "x", "max"), pick(lower, "x", "max"), pick(lower, "x", "min")]
-    by_x = [pick(left, "y", "min"), pick(right, "y", "min"), pick(right, "y", "max"), pick(left, "y", "max")]
-    line = f"transform(array_sort(transform({points}, (at_, i_) -> named_struct('y', at_.y, 'i', i_, 'at', at_))), of_ -> of_.at)"
-    level = f"not {any_y}"
-    return f"""case when {any_x} and {any_y} then array({', '.join(diamond)})
-        when forall({points}, at_ -> at_.x = {mid('x')}) then {line}
-        when {any_x} and {level} then array({', '.join(by_y)}) else array({', '.join(by_x)}) end"""
+    diamond = [pick("p_", "x", "min"), pick("p_", "y", "min"), pick("p_", "x", "max"), pick("p_", "y", "max")]
+    by_y = [pick("h_.upper", "x", "min"), pick("h_.upper", "x", "max"), pick("h_.lower", "x", "max"), pick("h_.lower", "x", "min")]
+    by_x = [pick("h_.left", "y", "min"), pick("h_.right", "y", "min"), pick("h_.right", "y", "max"), pick("h_.left", "y", "max")]
+    line = "transform(array_sort(transform(p_, (at_, i_) -> named_struct('y', at_.y, 'i', i_, 'at', at_))), of_ -> of_.at)"
+    on_x, on_y = (f"exists(p_, at_ -> at_.{c} = m_.{c})" for c in "xy")
+    choice = f"""case when {on_x} and {on_y} then array({', '.join(diamond)}) when forall(p_, at_ -> at_.x = m_.x) then {line}
+        when {on_x} and not {on_y} then array({', '.join(by_y)}) else array({', '.join(by_x)}) end"""
+    return bound(points, "p_", bound(f"named_struct({mid})", "m_", bound(f"named_struct({halves})", "h_", choice)))

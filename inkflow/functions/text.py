@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .geometry import bound
+
 #: Ranges of CJK ideographs, CJK punctuation and full-width forms.
 CJK = r"[\u4e00-\u9fff\u3000-\u303f\uff00-\uffef]"
 #: White space as Unicode's Zs, Zl and Zp with the controls 9-13 and 85.
@@ -40,21 +42,22 @@ def segment_words(chars: str, cols: str, confs: str, pattern: str = CJK) -> Colu
     """Array of struct(words, cols, type, confs): runs of one class (CN, EN_NUM) without white space.
 
     A word also ends where the step before is more than ``GAP`` steps away. Null without columns."""
-    typed = f"transform({chars}, c -> if(c rlike {_lit(pattern)}, 'CN', 'EN_NUM'))"
-    at = f"filter(transform({chars}, (c, i) -> if(c rlike {_lit('^' + SPACE)}, -1, i)), i -> i >= 0)"
+    line = f"named_struct('chars', {chars}, 'cols', {cols}, 'confs', {confs})"
+    typed = f"transform(v.chars, c -> if(c rlike {_lit(pattern)}, 'CN', 'EN_NUM'))"
+    at = f"filter(transform(v.chars, (c, i) -> if(c rlike {_lit('^' + SPACE)}, -1, i)), i -> i >= 0)"
     begins = f"""filter(transform(s.at, (i, k) -> if(k = 0 or i - s.at[greatest(k - 1, 0)] > 1 or s.kind[i] <> s.kind[s.at[greatest(k - 1, 0)]]
-        or {cols}[i] - {cols}[greatest(i - 1, 0)] > {GAP}, k, -1)), k -> k >= 0)"""
-    part = "slice(z.at, b + 1, if(n < size(z.begins) - 1, z.begins[least(n + 1, size(z.begins) - 1)], size(z.at)) - b)"
-    word = f"""named_struct('words', transform({part}, i -> {chars}[i]), 'cols', transform({part}, i -> {cols}[i]), 'type', z.kind[z.at[b]], 'confs', transform({part}, i -> {confs}[i]))"""
-    steps = f"transform(array(named_struct('at', {at}, 'kind', {typed})), s -> named_struct('at', s.at, 'kind', s.kind, 'begins', {begins}))"
-    return F.expr(f"if(coalesce(size({cols}), 0) <= 0, null, transform({steps}, z -> transform(z.begins, (b, n) -> {word}))[0])")
+        or v.cols[i] - v.cols[greatest(i - 1, 0)] > {GAP}, k, -1)), k -> k >= 0)"""
+    part = "slice(s.at, b + 1, if(n < size(begins) - 1, begins[least(n + 1, size(begins) - 1)], size(s.at)) - b)"
+    word = f"""named_struct('words', transform({part}, i -> v.chars[i]), 'cols', transform({part}, i -> v.cols[i]), 'type', s.kind[s.at[b]], 'confs', transform({part}, i -> v.confs[i]))"""
+    words = bound(f"named_struct('at', {at}, 'kind', {typed})", "s", bound(begins, "begins", f"transform(begins, (b, n) -> {word})"))
+    return F.expr(bound(line, "v", f"if(coalesce(size(v.cols), 0) <= 0, null, {words})"))
 
 
 def average_width(words: str, column_width: str, box_width: str, length: str) -> Column:
     """Mean character width over the words of two characters or more, else the box over its characters."""
-    long = f"filter({words}, w -> size(w.cols) > 1)"
-    mean = f"aggregate({long}, 0D, (a, w) -> a + (element_at(w.cols, -1) - w.cols[0]) * {column_width} / (size(w.cols) - 1), a -> a / size({long}))"
-    return F.expr(f"case when {length} = 0 then 0D when size({long}) > 0 then {mean} else {box_width} / cast({length} as double) end")
+    given = f"named_struct('long', filter({words}, w -> size(w.cols) > 1), 'cell', {column_width})"
+    mean = "aggregate(v.long, 0D, (a, w) -> a + (element_at(w.cols, -1) - w.cols[0]) * v.cell / (size(w.cols) - 1), a -> a / size(v.long))"
+    return F.expr(bound(given, "v", f"case when {length} = 0 then 0D when size(v.long) > 0 then {mean} else {box_width} / cast({length} as double) end"))
 
 
 def cell_sql(col: str, average: str, column_width: str, x0: str, x1: str) -> str:
@@ -66,12 +69,11 @@ def cell_sql(col: str, average: str, column_width: str, x0: str, x1: str) -> str
 def boxes(words: str, average: str, column_width: str, x0: str, x1: str, single: bool = False) -> Column:
     """Array of struct(left, right, word, conf): one for each word of a line of EN_NUM words only,
     one for each character (left to right) of others and with ``single``."""
-    cell = lambda c: cell_sql(c, average, column_width, x0, x1)
+    given = f"named_struct('words', {words}, 'mean', {average}, 'cell', {column_width}, 'x0', {x0}, 'x1', {x1})"
+    cell = lambda c: cell_sql(c, "v.mean", "v.cell", "v.x0", "v.x1")
     side = lambda f, s: f"array_{f}(transform(w.cols, c -> {cell('c')}.{s}))"
-    by_word = f"transform({words}, w -> named_struct('left', {side('min', 'left')}, 'right', {side('max', 'right')}, 'word', array_join(w.words, ''), 'conf', aggregate(w.confs, 0D, (a, x) -> a + x, a -> a / size(w.confs))))"
-    each = f"flatten(transform({words}, w -> transform(w.cols, (c, i) -> named_struct('cell', {cell('c')}, 'word', w.words[i], 'conf', cast(w.confs[i] as double)))))"
+    by_word = f"transform(v.words, w -> named_struct('left', {side('min', 'left')}, 'right', {side('max', 'right')}, 'word', array_join(w.words, ''), 'conf', aggregate(w.confs, 0D, (a, x) -> a + x, a -> a / size(w.confs))))"
+    each = f"flatten(transform(v.words, w -> transform(w.cols, (c, i) -> named_struct('cell', {cell('c')}, 'word', w.words[i], 'conf', cast(w.confs[i] as double)))))"
     sort = f"array_sort(transform({each}, (e, i) -> named_struct('left', e.cell.left, 'i', i, 'e', e)))"
     by_char = f"transform({sort}, s -> named_struct('left', s.e.cell.left, 'right', s.e.cell.right, 'word', s.e.word, 'conf', s.e.conf))"
-    if single:
-        return F.expr(by_char)
-    return F.expr(f"if(forall({words}, w -> w.type = 'EN_NUM'), {by_word}, {by_char})")
+    return F.expr(bound(given, "v", by_char if single else f"if(forall(v.words, w -> w.type = 'EN_NUM'), {by_word}, {by_char})"))

@@ -164,7 +164,7 @@ def word_boxes(lines: DataFrame, config: Config) -> DataFrame:
     apart = """transform(cells, (c, i) -> named_struct('word', c.word, 'conf', c.conf,
         'left', c.left + if(i > 0, greatest(0D, cells[greatest(i - 1, 0)].right - c.left) / 2, 0D),
         'right', c.right - if(i < size(cells) - 1, greatest(0D, c.right - cells[least(i + 1, size(cells) - 1)].left) / 2, 0D)))"""
-    step = step.withColumn("cells", F.expr(apart)).withColumn("direction", geometry.direction("box"))
+    step = step.withColumn("cells", F.expr(geometry.bound("cells", "cells", apart))).withColumn("direction", geometry.direction("box"))
 
     @F.pandas_udf(f"array<{QUAD}>")
     def placed(boxes: pd.Series, rects: pd.DataFrame, cells: pd.Series, directions: pd.Series) -> pd.Series:
