@@ -6,6 +6,7 @@ Images are uint8 arrays (height, width, 3) in the order blue, green, red.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -107,29 +108,40 @@ def contours(mask: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
     Points are (x, y) of border pixels; a region is what the border encloses, itself included."""
     found = []
-    h, w = mask.shape
     whole = np.pad(mask, 1)
-    outside = label(~whole, corners=False)
-    numbers = label(whole)
-    empty = outside == outside[0, 0]
-    for n in range(1, numbers.max() + 1):
-        own = numbers == n
+    outside, numbers = label(~whole, corners=False), label(whole)
+    # each part is looked at within its own rectangle and a margin
+    for y, x, own in _parts(numbers, 0):
         around = label(~own, corners=False)
-        region = around != around[0, 0]
         ys, xs = np.nonzero(own)
-        found.append(((ys[0], xs[0], 0), np.stack([xs - 1, ys - 1], 1), region[1:-1, 1:-1]))
-    for n in np.unique(outside[~empty & (outside > 0)]):
-        hole = outside == n
+        region = np.zeros(whole.shape, bool)
+        region[y : y + own.shape[0], x : x + own.shape[1]] = around != around[0, 0]
+        found.append(((ys[0] + y, xs[0] + x, 0), np.stack([xs + x - 1, ys + y - 1], 1), region[1:-1, 1:-1]))
+    for y, x, hole in _parts(outside, outside[0, 0]):
         beside = hole.copy()
         beside[1:] |= hole[:-1]
         beside[:-1] |= hole[1:]
         beside[:, 1:] |= hole[:, :-1]
         beside[:, :-1] |= hole[:, 1:]
-        ys, xs = np.nonzero(beside & whole)
-        found.append(((ys[0], xs[0], 1), np.stack([xs - 1, ys - 1], 1), beside[1:-1, 1:-1]))
+        ys, xs = np.nonzero(beside & ~hole)
+        region = np.zeros(whole.shape, bool)
+        region[y : y + hole.shape[0], x : x + hole.shape[1]] = beside
+        found.append(((ys[0] + y, xs[0] + x, 1), np.stack([xs + x - 1, ys + y - 1], 1), region[1:-1, 1:-1]))
     return [(p, r) for _, p, r in sorted(found, key=lambda f: f[0])]
 
 
+def _parts(numbers: np.ndarray, but: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(top, left, mask) of each number except 0 and ``but``, in its rectangle with a margin of one."""
+    ys, xs = np.nonzero((numbers > 0) & (numbers != but))
+    n = numbers[ys, xs]
+    order = np.argsort(n, kind="stable")
+    ys, xs, n = ys[order], xs[order], n[order]
+    cut = np.flatnonzero(np.r_[True, n[1:] != n[:-1]]) if len(n) else []
+    for a, b in zip(cut, [*cut[1:], len(n)]):
+        y0, y1, x0, x1 = ys[a] - 1, ys[b - 1] + 2, xs[a:b].min() - 1, xs[a:b].max() + 2
+        yield y0, x0, numbers[y0:y1, x0:x1] == n[a]
+
+
 def hull(points: np.ndarray) -> np.ndarray:
     """Convex hull in order, by the monotone chain."""
     p = np.unique(points.astype(float), axis=0)

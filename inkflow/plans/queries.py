@@ -524,10 +524,12 @@ def engine_pages(spark, sf_dir):
             rows = []
             for vec, flat in zip(frame.vec_id, frame.embedding):
                 cells = np.clip(np.asarray(flat).reshape(8, 8, 1) * 400 + 100, 0, 255).astype(np.uint8)
-                image = np.repeat(np.repeat(np.repeat(cells, 3, axis=2), 16, axis=0), 32, axis=1)
+                image = np.repeat(np.repeat(np.repeat(cells, 3, axis=2), 8, axis=0), 16, axis=1)
                 rows.append((vec, f"map:{vec}", *image.shape, image.tobytes(), None))
             yield pd.DataFrame(rows, columns=["image_idx", "image_path", "height", "width", "n_channels", "data", "error"])
 
-    images = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(pictures, "image_idx long, image_path string, height int, width int, n_channels int, data binary, error string")
-    pages = Engine(spark, Scorers(_bright, _bars), list(ALPHABET), Config(detector=Detector(limit_side_len=128))).pages(images)
+    # pages take far more time than their rows take space: spread them before they are pictures
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(spark.sparkContext.defaultParallelism, "vec_id")
+    images = rows.mapInPandas(pictures, "image_idx long, image_path string, height int, width int, n_channels int, data binary, error string")
+    pages = Engine(spark, Scorers(_bright, _bars), list(ALPHABET), Config(detector=Detector(limit_side_len=64))).pages(images)
     return pages.select("image_idx", "text_blocks", F.size("det").alias("boxes"), "error")
