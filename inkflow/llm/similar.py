@@ -33,6 +33,8 @@ from .graph import components
 from .simhash import DENSE, SEED, _dense, _lookup
 
 SHINGLE, LEAST, PRINTS = 5, 0.8, 5
+#: Nodes with one fingerprint link in so many branches, so that the degree of a large group is spread.
+BRANCHES = 64
 #: Where the number of the fingerprint stands in a key; a half and its value take 33 bits.
 _TABLE = 33
 
@@ -200,9 +202,13 @@ def groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
     # a null id comes last
     nodes = store(rows.groupBy("node").agg(F.expr("min(struct(isnull(doc_id) as none, doc_id, k)) as least"), F.first("prints").alias("prints")))
     each = nodes.select(F.posexplode("prints").alias("place", "fp"), "node")
-    first = store(each.groupBy("place", "fp").agg(F.min("node").alias("node"), F.count("*").alias("n")))
-    shared = Stored(first.where("n > 1").select("place", "fp", F.col("node").alias("u")))
-    equal = each.join(shared.small(), ["place", "fp"]).where("u <> node").select("u", F.col("node").alias("v"))
+    # of the nodes with one fingerprint, those of a branch link to its first, and the branches' firsts to the first of all
+    branched = each.withColumn("branch", F.expr(f"pmod(hash(node), {BRANCHES})"))
+    tops = store(branched.groupBy("place", "fp", "branch").agg(F.min("node").alias("top"), F.count("*").alias("n")))
+    first = store(tops.groupBy("place", "fp").agg(F.min("top").alias("node"), F.sum("n").alias("n")))
+    in_branch = branched.join(Stored(tops.where("n > 1").drop("n")).small(), ["place", "fp", "branch"]).select(F.col("top").alias("u"), F.col("node").alias("v"))
+    of_branches = tops.select("place", "fp", "top").join(Stored(first.where("n > 1").drop("n")).small(), ["place", "fp"]).select(F.col("node").alias("u"), F.col("top").alias("v"))
+    equal = in_branch.union(of_branches).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     met = first.select("place", "fp", "node").transform(in_arrow, variants, "key long, ball byte, fp long, node long").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "ball")
     candidates = store(met.transform(in_arrow, links, "u long, v long").union(equal).distinct())
     wanted = Stored(candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "least.doc_id", "least.k"))
