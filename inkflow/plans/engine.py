@@ -55,7 +55,7 @@ class Engine:
         return self.recognize(image, save_dir, batch_num=1)
 
     def batch(self, source, save_dir: str | None = None, callback: Callable[[Row], None] | None = None, batch_num: int | None = 1) -> list[Row]:
-        """All images, in the order of the input; the callback runs on executors."""
+        """All images, in the order of the input, a folder's by path; the callback runs on executors."""
         images = self.images(source)
         pages = self.pages(images, batch_num)
         if save_dir or callback:
@@ -65,7 +65,7 @@ class Engine:
                 sinks.call(pages, callback)
             if save_dir:
                 sinks.save_annotated(sinks.annotated(images, pages, self.config.recognizer.text_score), save_dir)
-            return sinks.collected(pages)
+            return sinks.collected(pages, "image_path" if isinstance(source, str) else "image_idx")
         finally:
             pages.unpersist()
 

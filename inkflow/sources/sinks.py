@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..operators import pixels
 
 
-def collected(pages: DataFrame) -> list[Row]:
-    """Pages in the order of the input; for the driver's use, so only of what fits there."""
-    return pages.orderBy("image_idx", "image_path").collect()
+def collected(pages: DataFrame, order: str = "image_idx") -> list[Row]:
+    """Pages in order; for the driver's use, so only of what fits there."""
+    return pages.orderBy(order).collect()
 
 
 def each(pages: DataFrame) -> Iterator[Row]:

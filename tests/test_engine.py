@@ -81,6 +81,8 @@ def test_folder_list_and_modes_agree(spark, tmp_path):
     for rows in (own.batch(str(tmp_path)), own.batch_parallel(str(tmp_path)), list(own.foreach(str(tmp_path))), list(own.foreach_parallel(str(tmp_path)))):
         assert {os.path.basename(r.image_path)[:-4]: r.text_blocks for r in rows} == want
         assert [r.error is not None for r in rows] == ["broken" in r.image_path for r in rows]
+    names = [os.path.basename(r.image_path)[:-4] for r in own.batch(str(tmp_path))]
+    assert names == sorted(names)
     paths = [str(tmp_path / f"{n}.png") for n in ("two", "one", "two")] + [str(tmp_path / "note.txt")]
     rows = own.batch(paths)
     assert [r.text_blocks for r in rows] == ["bb aa", "aa", "bb aa"] and [r.image_path for r in rows] == paths[:3]
