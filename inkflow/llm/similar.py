@@ -1,16 +1,17 @@
-"""Near-duplicate documents: SimHash ball hashing finds candidates, word shingles verify them.
+"""Near-duplicate documents: a prefix-filtered set join finds candidates, word shingles verify them.
 
-Three bits of a 64-bit SimHash over five-word shingles only reach documents that are almost equal,
-so the fingerprints here are of a document's set of words, which an edit changes far less, and there
-are ``PRINTS`` of them with independent hashes. Each goes through meet-in-the-middle ball hashing as
-in ``simhash``; a colliding pair is verified over all 64 bits, and then by the Jaccard similarity of
-its five-word shingles, computed in full, which must be ``LEAST`` or more. With five fingerprints
-about nine in ten pairs at just 0.8 collide, and 99 % at 0.9.
+A document is the set of its five-word shingles' hashes. All sets are sorted in one order, rare
+shingles first, and two sets with a Jaccard similarity of ``LEAST`` or more share a shingle among the
+first ``n - ceil(LEAST * n) + 1`` of each. So every such pair meets in a bucket of one of these
+shingles, whatever was edited: no pair is missed. Which order is taken only decides how large buckets
+get; shingles that are common in a sample of the documents come last.
 
-Documents with equal words are one node from the start, and of the nodes with one fingerprint only
-the first emits variants; the others link to it. Within a variant every node sends two links: to its
-nearest, and to its nearest before it; never all pairs. Groups are the components of the verified
-links.
+Bounds on sizes and places drop pairs that can't reach ``LEAST``; the others are verified by the
+Jaccard similarity, computed in full. Documents with equal words are one node from the start. A
+bucket isn't paired at once: in each round more of its nodes, ``CENTRES`` at first and then
+``GROWTH`` times as many, are paired with all after them that the links verified so far don't
+join to them. The rounds end when every node of every bucket had its turn, so only pairs that are
+joined already go untested. Groups are the components of the verified links.
 
 Nulls: null, empty and blank texts have no words and are one group. A document of fewer than five
 words has one shingle, all its words. Null ids are the last of their group. Repeated rows are copies.
@@ -19,6 +20,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -32,9 +34,13 @@ from .common import Stored, in_arrow, partitions, row_key, store
 from .graph import components
 from .simhash import DENSE, SEED, _dense, _lookup
 
-SHINGLE, LEAST, PRINTS = 5, 0.8, 5
-#: Nodes with one fingerprint link in so many branches, so that the degree of a large group is spread.
-BRANCHES = 64
+SHINGLE, LEAST = 5, 0.8
+#: Nodes of a bucket that are paired with the others in the first round, and the growth by round.
+CENTRES, GROWTH = 4, 8
+#: About so many documents are sampled for common shingles; those in fewer of them count as rare.
+SAMPLE, COMMON, MOST_COMMON = 20_000, 8, 1 << 18
+#: Pairs of a bucket are made in blocks of about so many.
+_BLOCK = 1 << 20
 #: Where the number of the fingerprint stands in a key; a half and its value take 33 bits.
 _TABLE = 33
 
@@ -47,19 +53,6 @@ def hashes(words: list[bytes], seed: int = SEED) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(seed)), np.uint64, len(words))
 
 
-def word_prints(words: list[bytes], prints: int = PRINTS) -> np.ndarray:
-    """``prints`` SimHash fingerprints of a set of words; zeros for none."""
-    h = hashes(list(set(words)))
-    z = h[:, None] + np.arange(1, prints + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    z ^= z >> np.uint64(31)
-    ones = np.zeros(64 * prints, np.int64)
-    for a in range(0, len(h), 4096):
-        ones += np.unpackbits(z[a : a + 4096].view(np.uint8).reshape(-1, 8 * prints), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
-
-
 def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """The distinct shingles' hashes, sorted."""
     grams = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else iter([b" ".join(words)])
@@ -71,20 +64,78 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def printed(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, node, prints): node stands for the words in their order."""
+def needed(n: int, least: float) -> int:
+    """The least number of its n shingles that a set shares with a similar one."""
+    return max(1, math.ceil(least * n - 1e-9))
+
+
+def prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles in the global order, of which similar sets share one; grams and common are sorted."""
+    keep = len(grams) - needed(len(grams), least) + 1
+    if not len(common):
+        return grams[:keep]
+    at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+    n = np.where(common[at] == grams, counts[at], 0)
+    return grams[np.argsort(n, kind="stable")[:keep]]
+
+
+def common_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that are common in a sample of about SAMPLE documents, and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(words_of(text.as_py() or b"")).view(np.int64))], names=["gram"])
+
+    every = max(1, total // SAMPLE)
+    grams = docs.where(F.pmod(row_key(), F.lit(every)) == 0).select("text").transform(in_arrow, run, "gram long")
+    found = grams.groupBy("gram").agg(F.count("*").alias("n")).where(f"n >= {COMMON}").orderBy(F.desc("n"), "gram").limit(MOST_COMMON).toArrow()
+    gram, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(gram)
+    return gram[order], n[order]
+
+
+def nodes_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, k, node): node stands for the words in their order."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, prints = [], []
-            for text in batch.column(2).cast(pa.binary()):
+            nodes = [xxhash.xxh64_intdigest(b" ".join(words_of(t.as_py() or b"")), SEED) for t in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64))], names=["doc_id", "k", "node"])
+
+    return docs.select("doc_id", row_key().alias("k"), "text").transform(in_arrow, run, f"doc_id {kind}, k long, node long")
+
+
+def indexed(docs: DataFrame, total: int, least: float) -> DataFrame:
+    """(key, node, size, at) of every shingle of the prefixes: at is its place in the order, size the set's size."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, total))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, nodes, sizes, places, held = [], [], [], [], 0
+
+            def out():
+                n = [len(k) for k in keys]
+                return pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.uint64), n).view(np.int64)),
+                    pa.array(np.repeat(np.array(sizes, np.int32), n)), pa.array(np.concatenate(places))], names=["key", "node", "size", "at"])
+
+            for text in batch.column(0).cast(pa.binary()):
                 w = words_of(text.as_py() or b"")
+                grams = shingles(w)
+                keys.append(prefix(grams, *shared.value, least))
                 nodes.append(xxhash.xxh64_intdigest(b" ".join(w), SEED))
-                prints.append(word_prints(w).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "k", "node", "prints"])
+                sizes.append(len(grams))
+                places.append(np.arange(len(keys[-1]), dtype=np.int32))
+                held += len(keys[-1])
+                if held > 50_000:
+                    yield out()
+                    keys, nodes, sizes, places, held = [], [], [], [], 0
+            if keys:
+                yield out()
 
-    return docs.select("doc_id", row_key().alias("k"), "text").transform(in_arrow, run, f"doc_id {kind}, k long, node long, prints array<long>")
+    return docs.select("text").transform(in_arrow, run, "key long, node long, size int, at int")
 
 
 def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,27 +206,67 @@ def meet(key: np.ndarray, ball: np.ndarray, fp: np.ndarray, node: np.ndarray) ->
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v): candidates in rows (key, ball, fp, node) sorted by key and ball."""
-    rest = None
-
-    def out(part):
-        u, v = meet(part[0], part[1], part[2].view(np.uint64), part[3])
-        pairs = np.unique(np.stack([u, v], axis=1)[u != v], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by their first column, cut where that changes."""
+    parts = []
     for batch in batches:
-        now = [batch.column(i).to_numpy() for i in range(4)]
+        now = [c.to_numpy() for c in batch.columns]
         if not len(now[0]):
             continue
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now)]
         cut = np.searchsorted(now[0], now[0][-1])  # the last key may go on
-        if cut:
-            yield out([x[:cut] for x in now])
-        rest = [x[cut:] for x in now]
-    if rest is not None:
-        yield out(rest)
+        if parts and (cut or now[0][0] != parts[-1][0][-1]):
+            yield [np.concatenate(x) for x in zip(*parts, [c[:cut] for c in now])]
+            parts = []
+        elif cut:
+            yield [c[:cut] for c in now]
+        parts.append([c[cut:] for c in now])
+    if parts:
+        yield [np.concatenate(x) for x in zip(*parts)]
+
+
+def _buckets(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return start, np.diff(np.r_[start, len(key)])
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, size, at, n) of rows (key, node, size, at) sorted by key and node: buckets of n > 1 nodes."""
+    for key, node, size, at in whole_keys(batches):
+        own = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]  # copies have one row
+        key, node, size, at = key[own], node[own], size[own], at[own]
+        n = np.repeat((c := _buckets(key)[1]), c)
+        use = n > 1
+        if use.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (key, node, size, at, n)], names=["key", "node", "size", "at", "n"])
+
+
+def paired(least: float, lo: int, hi: int):
+    """(u, v) of rows (key, node, size, at, comp) sorted by key and node: of each bucket, the nodes from
+    place lo up to hi with all after them, unless joined already or too different in size or place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, size, at, comp in whole_keys(batches):
+            start, n = _buckets(key)
+            place = np.arange(len(key)) - np.repeat(start, n)
+            after = np.repeat(start + n, n) - np.arange(len(key)) - 1
+            one = np.repeat(np.minimum.reduceat(comp, start) == np.maximum.reduceat(comp, start), n)
+            centre = np.flatnonzero((place >= lo) & (place < hi) & (after > 0) & ~one)
+            total = np.cumsum(after[centre])
+            done = 0
+            while done < len(centre):
+                upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + _BLOCK)))
+                c = centre[done:upto]
+                done = upto
+                a = np.repeat(c, after[c])
+                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after[c]) - after[c], after[c])
+                ok = comp[a] != comp[b]
+                a, b = a[ok], b[ok]
+                most = np.minimum(at[a], at[b]) + 1 + np.minimum(size[a] - at[a], size[b] - at[b]) - 1
+                ok = most * (1 + least) >= least * (size[a].astype(np.int64) + size[b]) - 1e-6
+                pairs = np.unique(np.stack([node[a[ok]], node[b[ok]]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    return run
 
 
 def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,28 +287,41 @@ def verified(least: float):
     return run
 
 
-def groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """(doc_id, k, first_id, first_k): each row's group, by its first row; k is common.row_key."""
-    rows = store(printed(docs))
-    # a null id comes last
-    nodes = store(rows.groupBy("node").agg(F.expr("min(struct(isnull(doc_id) as none, doc_id, k)) as least"), F.first("prints").alias("prints")))
-    each = nodes.select(F.posexplode("prints").alias("place", "fp"), "node")
-    # of the nodes with one fingerprint, those of a branch link to its first, and the branches' firsts to the first of all
-    branched = each.withColumn("branch", F.expr(f"pmod(hash(node), {BRANCHES})"))
-    tops = store(branched.groupBy("place", "fp", "branch").agg(F.min("node").alias("top"), F.count("*").alias("n")))
-    first = store(tops.groupBy("place", "fp").agg(F.min("top").alias("node"), F.sum("n").alias("n")))
-    in_branch = branched.join(Stored(tops.where("n > 1").drop("n")).small(), ["place", "fp", "branch"]).select(F.col("top").alias("u"), F.col("node").alias("v"))
-    of_branches = tops.select("place", "fp", "top").join(Stored(first.where("n > 1").drop("n")).small(), ["place", "fp"]).select(F.col("node").alias("u"), F.col("top").alias("v"))
-    equal = in_branch.union(of_branches).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    met = first.select("place", "fp", "node").transform(in_arrow, variants, "key long, ball byte, fp long, node long").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "ball")
-    candidates = store(met.transform(in_arrow, links, "u long, v long").union(equal).distinct())
-    wanted = Stored(candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "least.doc_id", "least.k"))
+def linked_nodes(docs: DataFrame, nodes: DataFrame, total: int, least: float) -> DataFrame | None:
+    """(node, root) of the components of all links of ``least`` or more; none if there are no links."""
+    parts = partitions(docs.sparkSession)
+    index = indexed(docs, total, least).repartition(parts, "key").sortWithinPartitions("key", "node")
+    buckets = store(index.transform(in_arrow, met, "key long, node long, size int, at int, n long"))
+    largest = buckets.agg(F.max("n")).first()[0] or 0
+    wanted = Stored(buckets.select("node").distinct().join(nodes, "node").select("node", "least.doc_id", "least.k"))
     texts = docs.select(F.col("doc_id").alias("own_id"), row_key().alias("own_k"), "text")
     # a row that is there several times gives the same shingles
     sets = store(texts.join(wanted.small(), F.expr("own_k = k and own_id <=> doc_id")).select("node", "text").transform(in_arrow, shingled, "node long, grams binary").dropDuplicates(["node"]))
-    pairs = candidates.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
-    labels = components(store(pairs.select("u", "v", "a", "b").transform(in_arrow, verified(least), "u long, v long")))
-    linked = labels.join(nodes.select("node", "least"), "node")
-    lowest = linked.groupBy("root").agg(F.min("least").alias("first"))
-    of_node = nodes.select("node", "least").join(linked.select("node", "root").join(lowest, "root").select("node", "first"), "node", "left").select("node", F.coalesce("first", "least").alias("first"))
+    links, labels, lo, hi = None, None, 0, CENTRES
+    while lo < largest - 1:
+        now = buckets.where(f"n > {lo + 1}").drop("n")
+        now = now.withColumn("comp", F.col("node")) if labels is None else now.join(labels, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("comp"))
+        candidates = store(now.repartition(parts, "key").sortWithinPartitions("key", "node").transform(in_arrow, paired(least, lo, hi), "u long, v long").distinct())
+        pairs = candidates.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
+        found = store(pairs.select("u", "v", "a", "b").transform(in_arrow, verified(least), "u long, v long"))
+        if not found.isEmpty():
+            # earlier links are as good as those to their components' roots
+            links = found if labels is None else found.union(labels.select(F.col("node").alias("u"), F.col("root").alias("v")))
+            labels = store(components(links))
+        lo, hi = hi, hi + (hi - lo) * GROWTH
+    return labels
+
+
+def groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """(doc_id, k, first_id, first_k): each row's group, by its first row; k is common.row_key."""
+    rows = store(nodes_of(docs))
+    # a null id comes last
+    nodes = store(rows.groupBy("node").agg(F.expr("min(struct(isnull(doc_id) as none, doc_id, k)) as least")))
+    labels = linked_nodes(docs, nodes, rows.count(), least)
+    if labels is None:
+        of_node = nodes.select("node", F.col("least").alias("first"))
+    else:
+        linked = labels.join(nodes, "node")
+        lowest = linked.groupBy("root").agg(F.min("least").alias("first"))
+        of_node = nodes.join(linked.select("node", "root").join(lowest, "root").select("node", "first"), "node", "left").select("node", F.coalesce("first", "least").alias("first"))
     return rows.join(of_node, "node").select("doc_id", "k", F.col("first.doc_id").alias("first_id"), F.col("first.k").alias("first_k"))

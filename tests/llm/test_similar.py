@@ -83,3 +83,48 @@ def test_odd_and_empty(spark):
     assert {x for (i, _), x in first.items() if i in (1, 2, 3)} == {1}
     assert {x for (i, _), x in first.items() if i == 5} == {5}
     assert similar.groups(make(spark, [])).collect() == []
+
+
+def group_of_copies(n, words=100):
+    """An original and n copies, each with its own few words edited: sibling copies are mostly under 0.8."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    w = [rng.choice(vocabulary) for _ in range(words)]
+    out = [" ".join(w)]
+    for _ in range(n):
+        v = list(w)
+        for at in rng.sample(range(words), rng.choice((1, 2, 2, 3, 4))):
+            v[at] = rng.choice(vocabulary)
+        out.append(" ".join(v))
+    return out
+
+
+def partition_of(spark, texts):
+    return [r.first_id for r in sorted(similar.groups(make(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect(), key=lambda r: r.doc_id)]
+
+
+def test_large_group_of_edited_copies_against_brute_force(spark):
+    texts = group_of_copies(1000)
+    assert partition_of(spark, texts) == labels_of(len(texts), list(brute_links(texts)))
+
+
+def test_appended_and_replaced_passages_against_brute_force(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    texts = []
+    for _ in range(60):
+        w, share = some(300), rng.choice((0.05, 0.1, 0.15, 0.2, 0.24, 0.3))
+        n = int(300 * share)
+        texts += [" ".join(w), " ".join(w + some(n)), " ".join(some(n) + w), " ".join(w[: 150] + some(n // 2) + w[150 + n // 2 :])]
+    links = brute_links(texts)
+    assert len(links) > 100
+    assert partition_of(spark, texts) == labels_of(len(texts), list(links))
+
+
+@pytest.mark.parametrize("common", [1, 10**9])
+def test_no_pair_of_documents_is_missed(spark, common, monkeypatch):
+    monkeypatch.setattr(similar, "COMMON", common)
+    rows = [(i, r.text) for i, r in enumerate(documents(spark, f"{DATA}/sf0.01").select("text").collect())]
+    texts = [t for _, t in rows]
+    assert partition_of(spark, texts) == labels_of(len(texts), list(brute_links(texts)))
