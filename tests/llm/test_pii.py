@@ -67,3 +67,18 @@ def test_terms_that_reveal_an_entity(spark):
     assert clean[100] == rows[5][1]
     assert len(pii.find(make(spark, ODD)).collect()) == len(ODD)
     assert pii.find(make(spark, [])).collect() == []
+
+
+def test_terms_far_from_the_entity(spark):
+    filler = [(i, f"plain words without anything number {i}", "en", "a") for i in range(100, 200)]
+    gap = "plain words without anything number " * 4
+    rows = [(i, f"Zorblatt says {gap} zb@mail.example.com {gap} signed Zorblatt {i}", "en", "a") for i in range(5)]
+    rows += [(5, "only Zorblatt and plain words", "en", "a")] + filler
+    got = {r.doc_id: r for r in pii.find(make(spark, rows)).collect()}
+    for i, n in ((0, 2), (4, 2), (5, 1)):
+        text = rows[i][1]
+        assert [text[x.s : x.e] for x in got[i].terms].count("Zorblatt") == n
+        assert "plain" not in {text[x.s : x.e] for x in got[i].terms}
+    clean = {r.doc_id: r.text for r in pii.sanitise(make(spark, rows)).collect()}
+    assert not any("Zorblatt" in t for t in clean.values())
+    assert clean[100] == filler[0][1]
