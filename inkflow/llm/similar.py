@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -269,19 +270,14 @@ def paired(least: float, lo: int, hi: int):
     return run
 
 
-def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, grams) from (node, text)."""
-    for batch in batches:
-        grams = [shingles(words_of(t.as_py() or b"")).tobytes() for t in batch.column(1).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["node", "grams"])
-
-
 def verified(least: float):
-    """(u, v) of rows (u, v, a, b) whose shingles a and b are similar enough."""
+    """(u, v) of rows (u, v, a, b) whose texts a and b have similar enough shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = lru_cache(256)(lambda text: shingles(words_of(text)))
         for batch in batches:
-            ok = [jaccard(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) >= least for a, b in zip(batch.column(2), batch.column(3))]
+            texts = (batch.column(i).cast(pa.binary()) for i in (2, 3))
+            ok = [jaccard(grams(a.as_py() or b""), grams(b.as_py() or b"")) >= least for a, b in zip(*texts)]
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -293,17 +289,18 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, total: int, least: float) ->
     index = indexed(docs, total, least).repartition(parts, "key").sortWithinPartitions("key", "node")
     buckets = store(index.transform(in_arrow, met, "key long, node long, size int, at int, n long"))
     largest = buckets.agg(F.max("n")).first()[0] or 0
-    wanted = Stored(buckets.select("node").distinct().join(nodes, "node").select("node", "least.doc_id", "least.k"))
     texts = docs.select(F.col("doc_id").alias("own_id"), row_key().alias("own_k"), "text")
-    # a row that is there several times gives the same shingles
-    sets = store(texts.join(wanted.small(), F.expr("own_k = k and own_id <=> doc_id")).select("node", "text").transform(in_arrow, shingled, "node long, grams binary").dropDuplicates(["node"]))
     links, labels, lo, hi = None, None, 0, CENTRES
     while lo < largest - 1:
         now = buckets.where(f"n > {lo + 1}").drop("n")
         now = now.withColumn("comp", F.col("node")) if labels is None else now.join(labels, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("comp"))
         candidates = store(now.repartition(parts, "key").sortWithinPartitions("key", "node").transform(in_arrow, paired(least, lo, hi), "u long, v long").distinct())
-        pairs = candidates.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
+        wanted = Stored(candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "least.doc_id", "least.k"))
+        # texts take less disk than shingles; a row that is there several times gives the same
+        own = Stored(texts.join(wanted.small(), F.expr("own_k = k and own_id <=> doc_id")).select("node", "text").dropDuplicates(["node"]))
+        pairs = candidates.join(own.df.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(own.df.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
         found = store(pairs.select("u", "v", "a", "b").transform(in_arrow, verified(least), "u long, v long"))
+        own.drop()
         if not found.isEmpty():
             # earlier links are as good as those to their components' roots
             links = found if labels is None else found.union(labels.select(F.col("node").alias("u"), F.col("root").alias("v")))
