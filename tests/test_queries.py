@@ -6,11 +6,10 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import DATA
 
 from inkflow.plans.queries import ORACLES, QUERIES
 
-SF = f"{DATA}/sf0.001"
+SF = "/root/testdata/sf0.001"
 
 
 def connect(folder):
