@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from inkflow.llm import decontaminate, langid, mixing, sharding, similar
 from inkflow.llm.common import Stored, documents, row_key, rows_of, store, table
 
-#: A text of at least so many characters that is no more like any language than this isn't in one.
-LEAST_CHARS, LEAST_SCORE = 100, 0.05
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows that (id, key) name; key is ``row_key``."""
+    return docs.withColumn("__key", row_key()).join(Stored(gone).small(), F.expr("__key = key and doc_id <=> id"), "left_anti").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, and longer ones that resemble no language; short ones stay."""
-    prototypes = langid.train(docs.where("lang is not null"))
-    found = langid.predict(docs, prototypes, docs.columns)
-    return found.where(f"lang_pred <> '{langid.UNKNOWN}' and (score >= {LEAST_SCORE} or length(text) < {LEAST_CHARS})").select(*docs.columns)
+    """Rejects documents without a letter, and those that resemble none of the languages learnt."""
+    return without(docs, langid.rejected(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents."""
+    """Drops documents that hold a window of a benchmark item, however small a part of them it is."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = Stored(found.where("contaminated").select(F.col("doc_id").alias("id"), F.col("k").alias("key")).distinct())
-    return docs.withColumn("__key", row_key()).join(gone.small(), F.expr("__key = key and doc_id <=> id"), "left_anti").select(*docs.columns)
+    return without(docs, found.where("n_hit > 0").select(F.col("doc_id").alias("id"), F.col("k").alias("key")).distinct())
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

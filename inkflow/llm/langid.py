@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_crc, in_arrow, store
+from .common import Stored, documents, id_crc, in_arrow, row_key, store
 
 DIM = 1024
 #: Documents and characters that are counted at a time, and trigrams whose vectors are made at a time.
@@ -33,6 +33,8 @@ DOCS, CHARS, GRAMS = 256, 1 << 20, 4096
 #: Labels are few; more than this is a mistake in the input.
 MAX_LANGS = 10_000
 UNKNOWN = "und"
+#: Rejection: distances of the quartiles below the lower one, and widths of the spread of unrelated vectors.
+REACH, CHANCE = 3, 5
 
 
 def letter_table() -> np.ndarray:
@@ -101,8 +103,8 @@ def gram_vectors(grams: np.ndarray) -> np.ndarray:
     return (np.roll(v, 2, axis=1)[at[0]] * np.roll(v, 1, axis=1)[at[1]] * v[at[2]]).astype(np.float32)
 
 
-def vectors(texts: list, table: np.ndarray) -> np.ndarray:
-    """The bundled vector of each text; zeros where there is no letter."""
+def vectors(texts: list, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bundled vector of each text, zeros where there is no letter; and its number of trigrams."""
     out = np.zeros((len(texts), DIM), np.float32)
     doc, column, grams = count_grams(texts, table)
     width = grams.shape[1]
@@ -111,7 +113,7 @@ def vectors(texts: list, table: np.ndarray) -> np.ndarray:
         here = slice(None) if width <= GRAMS else (column >= a) & (column < b)
         counts = np.bincount(doc[here] * (b - a) + (column[here] - a), minlength=len(texts) * (b - a)).reshape(len(texts), b - a)
         out += counts.astype(np.float32) @ gram_vectors(grams[:, a:b])
-    return out
+    return out, np.bincount(doc, minlength=len(texts))
 
 
 def train(docs: DataFrame) -> dict[str, np.ndarray]:
@@ -122,7 +124,7 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, part in chunks(texts):
-                v = vectors(part, table)
+                v, _ = vectors(part, table)
                 norm = np.linalg.norm(v, axis=1, keepdims=True)
                 v = v / np.maximum(norm, 1e-9)
                 own = langs[at : at + len(part)]
@@ -146,21 +148,22 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
-    """``keep`` columns with lang_pred and score; ``docs`` has them and ``text``."""
+    """``keep`` columns with lang_pred, score and the number of trigrams; ``docs`` has them and ``text``."""
     names = list(prototypes)
     sent = keep if "text" in keep else [*keep, "text"]
     place = sent.index("text")
     matrix = np.array([prototypes[x] for x in names], np.float32).reshape(len(names), DIM)
     fields = [docs.schema[x] for x in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, grams long"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = letter_table()
         for batch in batches:
             texts = batch.column(place).to_pylist()
-            pred, scores = [], []
+            pred, scores, sizes = [], [], []
             for _, part in chunks(texts):
-                v = vectors(part, table)
+                v, grams = vectors(part, table)
+                sizes += grams.tolist()
                 norm = np.linalg.norm(v, axis=1)
                 if not names:
                     pred += [UNKNOWN] * len(part)
@@ -171,11 +174,34 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str])
                 top = np.clip(cos[np.arange(len(part)), best], 0, 1).astype(float)
                 pred += [names[b] if n > 0 else UNKNOWN for b, n in zip(best, norm)]
                 scores += [float(t) if n > 0 else 0.0 for t, n in zip(top, norm)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())], names=[*keep, "lang_pred", "score", "grams"])
 
     return docs.select(*(F.col(f"`{x}`") for x in sent)).transform(in_arrow, score, schema)
 
 
+def rejected(docs: DataFrame) -> DataFrame:
+    """(id, key) of the rows that are in none of the languages learnt from the rows with one; key is ``row_key``.
+
+    These are texts without a letter, and those whose score is an outlier among texts of about their
+    number of trigrams (below the lower quartile by more than ``REACH``
+    times the distance of the quartiles) and no more than an unrelated text gets by chance: cosines of
+    unrelated vectors spread by 1 / sqrt(DIM), and ``CHANCE`` such widths are the bound. Scores of short
+    texts spread widely, so no short text is an outlier unless most texts of its length do better. Where
+    nothing was learnt only texts without a letter are rejected.
+    """
+    prototypes = train(docs)
+    rows = docs.select("doc_id", row_key().alias("key"), "text")
+    found = store(predict(rows, prototypes, ["doc_id", "key"]))
+    sized = found.where(f"lang_pred <> '{UNKNOWN}'").select("doc_id", "key", "score", F.expr("length(bin(grams))").alias("class"), F.expr("cast(round(score * 1000) as int)").alias("bucket"))
+    # a histogram of at most a thousand buckets by class of lengths
+    upto = sized.groupBy("class", "bucket").agg(F.count("*").alias("n")).select("*", F.expr("sum(n) over (partition by class order by bucket)").alias("upto"), F.expr("sum(n) over (partition by class)").alias("total"))
+    fences = upto.groupBy("class").agg(F.expr("min(bucket) filter (where 4 * upto >= total)").alias("q1"), F.expr("min(bucket) filter (where 4 * upto >= 3 * total)").alias("q3"))
+    limits = fences.select("class", F.expr(f"q1 - {REACH} * (q3 - q1)").alias("fence"))
+    outliers = sized.where(f"score < {CHANCE / DIM**0.5!r}").join(Stored(limits).small(), "class").where("bucket < fence")
+    letterless = found.where("grams = 0")
+    return letterless.select("doc_id", "key").union(outliers.select("doc_id", "key")).select(F.col("doc_id").alias("id"), "key").distinct()
+
+
 def held_out():
     return F.pmod(id_crc(), F.lit(4)) == 2
 
@@ -183,4 +209,4 @@ def held_out():
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learnt from those that are not held out."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", held_out().alias("held_out"))
-    return predict(docs, train(docs.where("not held_out")), ["doc_id", "held_out"])
+    return predict(docs, train(docs.where("not held_out")), ["doc_id", "held_out"]).drop("grams")

@@ -106,7 +106,10 @@ def test_pipeline_stages(spark):
     assert alone.columns == docs.columns and len({(t or "").lower().encode().split().__str__() for t in texts}) == len(texts)
     clean = p.decontamination(spark, docs, folder)
     again = decontaminate.contamination(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
-    assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in again.where("not contaminated").collect())
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in again.where("n_hit = 0").collect())
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    planted = make(spark, [(1, "own words " * 5000 + item + " own words" * 5000, "en", "a"), (2, "own words " * 5000, "en", "a")])
+    assert [r.doc_id for r in p.decontamination(spark, planted, folder).collect()] == [2]
     mixed = Counter(r.doc_id for r in p.mixture(spark, docs, folder).collect())
     assert mixed == Counter({r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies})
     assert p.run(spark, folder).columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
