@@ -136,9 +136,12 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", row_key().alias("k"), F.unhex(F.md5(text)).alias("g"), F.expr("cast(coalesce(octet_length(text), 0) + 1 as bigint)").alias("size"), F.crc32(text).alias("text_crc32"))
     counted = rows.groupBy("doc_id", "k", "g", "size", "text_crc32").agg(F.count("*").alias("m"))
-    members = Stored(counted.select("doc_id", "k", "g", "size", "text_crc32", F.expr("explode(sequence(1L, m))").alias("rep")).withColumn("h", F.expr("xxhash64(k, rep)"))).df
-    start = Stored(members.groupBy("g", F.expr(f"cast(pmod(h, {shards}) as int)").alias("shard")).agg(F.count("*").alias("n"))).df
-    linked = start.groupBy("g").agg(F.sum("n").alias("all")).where("all > 1").select("g")
+    # members are counted and ranked in blocks, so that no task gets a whole group
+    blocks = 4 * partitions(spark)
+    members = Stored(counted.select("doc_id", "k", "g", "size", "text_crc32", F.expr("explode(sequence(1L, m))").alias("rep")).withColumn("h", F.expr("xxhash64(k, rep)")).withColumn("b", F.expr(f"cast(pmod(xxhash64(h), {blocks}) as int)"))).df
+    held = Stored(members.groupBy("g", "b", F.expr(f"cast(pmod(h, {shards}) as int)").alias("shard")).agg(F.count("*").alias("n"))).df
+    linked = held.groupBy("g").agg(F.sum("n").alias("all")).where("all > 1").select("g")
+    start = Stored(held.groupBy("g", "shard").agg(F.sum("n").alias("n"))).df
     total = int(start.agg(F.sum("n")).first()[0] or 0)
     room_of = np.array([total // shards + (s < total % shards) for s in range(shards)], np.int64)
     settled = propagate(start.join(linked, "g", "left_semi"), room_of)
@@ -148,9 +151,8 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     parts = settled.select("g", "shard", "n").union(rest)
     ranges = parts.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("p")).select(
         "g", F.expr("transform(p, (x, i) -> struct(x.shard as shard, aggregate(slice(p, 1, i + 1), 0L, (a, y) -> a + y.n) as upto))").alias("p"))
-    # members are ranked in blocks, so that no task gets a whole group
-    blocks = 4 * partitions(spark)
-    grouped = members.join(linked.withColumn("linked", F.lit(True)), "g", "left").withColumn("g", F.expr("if(linked, g, cast('' as binary))")).drop("linked").withColumn("b", F.expr(f"pmod(xxhash64(h), {blocks})"))
+    of_linked = held.select("g", "b").distinct().join(linked, "g").withColumn("linked", F.lit(True))
+    grouped = members.join(of_linked, ["g", "b"], "left").withColumn("g", F.expr("if(linked, g, cast('' as binary))")).drop("linked")
     grouped = Stored(grouped).df
     each = grouped.groupBy("g", "b").agg(F.count("*").alias("m"))
     ahead = each.select("g", "b", F.expr("sum(m) over (partition by g order by b rows between unbounded preceding and current row) - m").alias("ahead"))
