@@ -87,9 +87,35 @@ class Stored:
         """Delete the files; only when no later plan reads them."""
         _remove(self._spark, self.path)
 
+    @property
+    def is_small(self) -> bool:
+        """Whether the files are small enough to broadcast."""
+        return self.bytes <= BROADCAST_BYTES
+
     def small(self) -> DataFrame:
         """The rows, with a broadcast hint if the files are small enough; else the planner's joins."""
-        return F.broadcast(self.df) if self.bytes <= BROADCAST_BYTES else self.df
+        return F.broadcast(self.df) if self.is_small else self.df
+
+
+class Scratch:
+    """Stored tables that are deleted together at the end of a ``with`` block; what outlives it is stored outside."""
+
+    def __init__(self):
+        self._held = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for x in self._held:
+            x.drop()
+
+    def stored(self, df: DataFrame) -> Stored:
+        self._held.append(Stored(df))
+        return self._held[-1]
+
+    def store(self, df: DataFrame) -> DataFrame:
+        return self.stored(df).df
 
 
 def store(df: DataFrame) -> DataFrame:
@@ -136,3 +162,28 @@ def rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     keyed_docs = docs.withColumn("__key", row_key())
     found = keyed_docs.join(Stored(wanted).small(), F.expr("__key = key and doc_id <=> id")).drop("id", "key")
     return found.where("m = 1").union(found.where("m > 1").dropDuplicates(["doc_id", "__key"])).drop("__key", "m")
+
+
+#: A key's rows are dealt over so many salts; so many rows of partial results meet again by key.
+SALTS = 200
+
+
+def with_minimum(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the least ``value`` among all rows of its ``key``.
+
+    No task gets a key's rows together: they are dealt by key and a salt, and only one row of each
+    salt goes on to the key. So a key may hold any share of the rows."""
+    dealt = df.withColumn("__salt", F.expr(f"cast(pmod(xxhash64({value}), {SALTS}) as int)"))
+    part = dealt.groupBy(key, "__salt").agg(F.min(value).alias("__low"))
+    least = part.groupBy(key).agg(F.min("__low").alias(name))
+    return dealt.join(part.select(key, "__salt").join(least, key), [key, "__salt"]).drop("__salt")
+
+
+def dealt_join(df: DataFrame, key: str, other: str, side: DataFrame) -> DataFrame:
+    """``df`` joined with ``side``, which has one row for each ``key``; ``other`` tells a key's rows apart.
+
+    A key's rows are dealt over ``SALTS`` salts, each of which gets the side's row, so a key may hold
+    any share of the rows."""
+    dealt = df.withColumn("__salt", F.expr(f"cast(pmod(xxhash64({other}), {SALTS}) as int)"))
+    parts = dealt.select(key, "__salt").distinct().join(side, key)
+    return dealt.join(parts, [key, "__salt"]).drop("__salt")

@@ -6,26 +6,25 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored
+from .common import Stored, with_minimum
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v), longs; root is the least node reachable.
 
-    Every step replaces edges by edges to the least neighbour, by grouped minima and joins only,
-    so a node of high degree is aggregated before the shuffle and its join can be split. Edges
-    between steps are files in the shared folder. The loop ends when a step changes nothing.
+    Every step replaces edges by edges to the least neighbour, by grouped minima and joins only.
+    A hub's edges are dealt over many tasks in both (``with_minimum``). Edges between steps are
+    files in the shared folder. The loop ends when a step changes nothing.
     """
     now = Stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     while True:
         e = now.df
-        both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = Stored(small.union(low.select("u", "m")).where("u <> v").distinct())
+        near = with_minimum(e.union(e.select("v", "u")), "u", "v", "low")
+        large = near.where("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v"))
+        small = with_minimum(large, "u", "v", "low")
+        ends = F.explode(F.array(F.struct("u", "low"), F.struct(F.col("v").alias("u"), "low"))).alias("e")
+        after = Stored(small.select(ends).select(F.col("e.u").alias("u"), F.col("e.low").alias("v")).where("u <> v").distinct())
         last, now = now, after
         last.drop()
         seen = after.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()

@@ -1,17 +1,23 @@
-"""Near-duplicate documents: a prefix-filtered set join finds candidates, word shingles verify them.
-
-A document is the set of its five-word shingles' hashes. All sets are sorted in one order, rare
-shingles first, and two sets with a Jaccard similarity of ``LEAST`` or more share a shingle among the
-first ``n - ceil(LEAST * n) + 1`` of each. So every such pair meets in a bucket of one of these
-shingles, whatever was edited: no pair is missed. Which order is taken only decides how large buckets
-get; shingles that are common in a sample of the documents come last.
-
-Bounds on sizes and places drop pairs that can't reach ``LEAST``; the others are verified by the
-Jaccard similarity, computed in full. Documents with equal words are one node from the start. A
-bucket isn't paired at once: in each round more of its nodes, ``CENTRES`` at first and then
-``GROWTH`` times as many, are paired with all after them that the links verified so far don't
-join to them. The rounds end when every node of every bucket had its turn, so only pairs that are
-joined already go untested. Groups are the components of the verified links.
+"""Near-duplicate documents: SimHash and MinHash buckets find candidates, word shingles verify them.
+
+A document is the set of its five-word shingles' hashes; documents with equal words are one node. The
+first candidates are the links of SimHash fingerprints within three bits (``simhash.print_links``), and
+nodes with one fingerprint. But of two sets with a Jaccard similarity of ``LEAST`` = 0.8 the fingerprints
+differ in ten bits on average, so MinHash finds what is beyond three bits: nodes meet in a bucket where
+the ``ROWS`` minima of one of ``BANDS`` bands agree. Two sets of similarity 0.8 meet nowhere with a chance
+of (1 - 0.8^5)^40 = 1.3e-7, more similar ones with a smaller one, whatever was edited.
+
+No bucket is paired in full. Its first centre is the node whose buckets are largest, which is what most
+edited copies are copies of; all others are candidates with it. Nodes of buckets that the links verified
+so far don't join into one component meet again by an exact prefix-filtered join: their sets are sorted
+in one order, rare shingles first, and two sets of similarity s share a shingle among the first
+n - ceil(s * n) + 1 of each. At the first shingle they share, no more can follow than the shorter rest,
+which drops most pairs of unlike nodes before they are made. Again all are candidates
+with the first centre of their bucket, a shingle; whoever is not joined with it then becomes a centre too, in rounds of more and more of them, until
+every such node had its turn. Pairs that are joined already go untested. A bucket's rows are dealt over tasks by salts, so
+it may hold any share of all nodes. Bounds on the numbers of shingles by hash bucket drop candidates that
+can't reach ``LEAST``; the others are verified by the Jaccard similarity of the texts, in full. Groups are
+the components of the verified links.
 
 Nulls: null, empty and blank texts have no words and are one group. A document of fewer than five
 words has one shingle, all its words. Null ids are the last of their group. Repeated rows are copies.
@@ -20,7 +26,6 @@ Other columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
@@ -31,29 +36,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, in_arrow, partitions, row_key, store
+from .common import Scratch, Stored, dealt_join, in_arrow, row_key, store, with_minimum
 from .graph import components
-from .simhash import DENSE, SEED, _dense, _lookup
+from .simhash import SEED, fingerprint, print_links
 
 SHINGLE, LEAST = 5, 0.8
-#: Nodes of a bucket that are paired with the others in the first round, and the growth by round.
-CENTRES, GROWTH = 4, 8
-#: About so many documents are sampled for common shingles; those in fewer of them count as rare.
-SAMPLE, COMMON, MOST_COMMON = 20_000, 8, 1 << 18
-#: Pairs of a bucket are made in blocks of about so many.
-_BLOCK = 1 << 20
-#: Where the number of the fingerprint stands in a key; a half and its value take 33 bits.
-_TABLE = 33
+BANDS, ROWS = 40, 5
+#: Nodes of a bucket that become centres in the first round after the first centre, the growth, and the most in a round.
+CENTRES, GROWTH, MOST_CENTRES = 32, 16, 512
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def hashes(words: list[bytes], seed: int = SEED) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(seed)), np.uint64, len(words))
-
-
 def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """The distinct shingles' hashes, sorted."""
     grams = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else iter([b" ".join(words)])
@@ -65,207 +61,69 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def needed(n: int, least: float) -> int:
-    """The least number of its n shingles that a set shares with a similar one."""
-    return max(1, math.ceil(least * n - 1e-9))
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall into each of a power of two of buckets, about four in each."""
+    bits = max(3, len(grams).bit_length() - 2)
+    return np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
 
 
-def prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
-    """The first shingles in the global order, of which similar sets share one; grams and common are sorted."""
-    keep = len(grams) - needed(len(grams), least) + 1
-    if not len(common):
-        return grams[:keep]
-    at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-    n = np.where(common[at] == grams, counts[at], 0)
-    return grams[np.argsort(n, kind="stable")[:keep]]
+def most_shared(a: np.ndarray, b: np.ndarray) -> int:
+    """No two sets with these sketches share more elements."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int(np.minimum(a, b.reshape(len(a), -1).sum(axis=1)).sum())
 
 
-def common_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the shingles that are common in a sample of about SAMPLE documents, and their counts."""
+def mixers() -> tuple[np.ndarray, np.ndarray]:
+    """A mask and an odd factor of 32 bits for each minimum, drawn from a fixed seed."""
+    draw = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 32, (2, BANDS * ROWS, 1), dtype=np.uint32)
+    return draw[0], draw[1] | np.uint32(1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(words_of(text.as_py() or b"")).view(np.int64))], names=["gram"])
 
-    every = max(1, total // SAMPLE)
-    grams = docs.where(F.pmod(row_key(), F.lit(every)) == 0).select("text").transform(in_arrow, run, "gram long")
-    found = grams.groupBy("gram").agg(F.count("*").alias("n")).where(f"n >= {COMMON}").orderBy(F.desc("n"), "gram").limit(MOST_COMMON).toArrow()
-    gram, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
-    order = np.argsort(gram)
-    return gram[order], n[order]
+def bands(grams: np.ndarray, mask: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """The bucket of a set in each band: a hash of the band's minima and its number."""
+    x, low = (grams >> np.uint64(32)).astype(np.uint32), None
+    for at in range(0, len(x), 1 << 10):
+        h = (x[at : at + (1 << 10)] ^ mask) * factor
+        h = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)).min(axis=1)
+        low = h if low is None else np.minimum(low, h)
+    both = np.concatenate([low.reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint32)[:, None]], axis=1)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), SEED) for r in both], np.uint64)
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, node): node stands for the words in their order."""
+    """(doc_id, k, node, fp, sketch, keys): node stands for the words in their order, fp is their fingerprint."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draws = mixers()
         for batch in batches:
-            nodes = [xxhash.xxh64_intdigest(b" ".join(words_of(t.as_py() or b"")), SEED) for t in batch.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64))], names=["doc_id", "k", "node"])
+            nodes, prints, counts, keys = [], [], [], []
+            for text in batch.column(2).cast(pa.binary()):
+                text = text.as_py() or b""
+                words = words_of(text)
+                grams = shingles(words)
+                nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
+                prints.append(fingerprint(text, SHINGLE))
+                counts.append(sketch(grams).tobytes())
+                keys.append(bands(grams, *draws))
+            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints)), pa.array(counts, pa.binary()), lists], names=["doc_id", "k", "node", "fp", "sketch", "keys"])
 
-    return docs.select("doc_id", row_key().alias("k"), "text").transform(in_arrow, run, f"doc_id {kind}, k long, node long")
+    return docs.select("doc_id", row_key().alias("k"), "text").transform(in_arrow, run, f"doc_id {kind}, k long, node long, fp long, sketch binary, keys array<long>")
 
 
-def indexed(docs: DataFrame, total: int, least: float) -> DataFrame:
-    """(key, node, size, at) of every shingle of the prefixes: at is its place in the order, size the set's size."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, total))
+def possible(least: float):
+    """(u, v) of rows (u, v, a, b) whose sketches a and b allow a similarity of ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, nodes, sizes, places, held = [], [], [], [], 0
-
-            def out():
-                n = [len(k) for k in keys]
-                return pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.uint64), n).view(np.int64)),
-                    pa.array(np.repeat(np.array(sizes, np.int32), n)), pa.array(np.concatenate(places))], names=["key", "node", "size", "at"])
-
-            for text in batch.column(0).cast(pa.binary()):
-                w = words_of(text.as_py() or b"")
-                grams = shingles(w)
-                keys.append(prefix(grams, *shared.value, least))
-                nodes.append(xxhash.xxh64_intdigest(b" ".join(w), SEED))
-                sizes.append(len(grams))
-                places.append(np.arange(len(keys[-1]), dtype=np.int32))
-                held += len(keys[-1])
-                if held > 50_000:
-                    yield out()
-                    keys, nodes, sizes, places, held = [], [], [], [], 0
-            if keys:
-                yield out()
-
-    return docs.select("text").transform(in_arrow, run, "key long, node long, size int, at int")
-
-
-def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, ball, fp, node) from (place, fp, node): halves of each fingerprint, and halves with a set bit cleared."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 50_000):
-            table, fp, node = (batch.column(i)[at : at + 50_000].to_numpy() for i in range(3))
-            table, fp = table.astype(np.uint64) << np.uint64(_TABLE), fp.view(np.uint64)
-            keys, balls, who = [], [], []
-            for half in (0, 1):
-                v = (fp >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
-                tag = table | np.uint64(half << 32)
-                keys.append(v | tag)
-                balls.append(np.zeros(len(v), np.int8))
-                who.append(np.arange(len(v)))
-                for bit in range(32):
-                    has = np.flatnonzero((v >> np.uint64(bit)) & np.uint64(1))
-                    keys.append((v[has] ^ np.uint64(1 << bit)) | tag[has])
-                    balls.append(np.ones(len(has), np.int8))
-                    who.append(has)
-            own = np.concatenate(who)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(balls)), pa.array(fp[own].view(np.int64)), pa.array(node[own])], names=["key", "ball", "fp", "node"])
-
-
-def nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of links a-b at distance far: for each node the nearest one, and the nearest that is lower."""
-    x, y, d = np.r_[a, b], np.r_[b, a], np.r_[far, far]
-    keep = x != y
-    x, y, d = x[keep], y[keep], d[keep]
-    out = []
-    for use in (np.arange(len(x)), np.flatnonzero(y < x)):
-        p = x[use]
-        order = np.lexsort((y[use], d[use], p))
-        first = np.ones(len(order), bool)
-        first[1:] = p[order[1:]] != p[order[:-1]]
-        out.append(use[order[first]])
-    at = np.unique(np.concatenate(out))
-    return x[at], y[at]
-
-
-def meet(key: np.ndarray, ball: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate links of nodes that meet by key; rows are sorted by key, fingerprints' own halves first."""
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[start, len(key)])
-    use = (size > 1) & (ball[start] == 0)
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for s, n in zip(start[use & (size > 64)], size[use & (size > 64)]):
-        own, centres = fp[s : s + n], int(n - ball[s : s + n].sum())
-        a, b = _dense(own, centres) if n <= DENSE else _lookup(own, centres, int(key[s] >> 32) & 1)
-        a, b = nearest(a, b, np.bitwise_count(own[a] ^ own[b]))
-        found.append((a + s, b + s))
-    few = use & (size <= 64)
-    rows = np.flatnonzero(np.repeat(few, size))
-    end = np.repeat(np.where(few, start + size, 0), size)[rows]
-    centre = ball[rows] == 0
-    rows, end = rows[centre], end[centre]
-    small = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for d in range(1, 64):
-        ok = rows + d < end
-        rows, end = rows[ok], end[ok]
-        if not len(rows):
-            break
-        far = np.bitwise_count(fp[rows] ^ fp[rows + d])
-        near = far <= 3
-        small.append((rows[near], rows[near] + d, far[near].astype(np.int64)))
-    found.append(nearest(*(np.concatenate(x) for x in zip(*small))))
-    a, b = (node[np.concatenate(x)] for x in zip(*found))
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of batches sorted by their first column, cut where that changes."""
-    parts = []
-    for batch in batches:
-        now = [c.to_numpy() for c in batch.columns]
-        if not len(now[0]):
-            continue
-        cut = np.searchsorted(now[0], now[0][-1])  # the last key may go on
-        if parts and (cut or now[0][0] != parts[-1][0][-1]):
-            yield [np.concatenate(x) for x in zip(*parts, [c[:cut] for c in now])]
-            parts = []
-        elif cut:
-            yield [c[:cut] for c in now]
-        parts.append([c[cut:] for c in now])
-    if parts:
-        yield [np.concatenate(x) for x in zip(*parts)]
-
-
-def _buckets(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    return start, np.diff(np.r_[start, len(key)])
-
-
-def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, size, at, n) of rows (key, node, size, at) sorted by key and node: buckets of n > 1 nodes."""
-    for key, node, size, at in whole_keys(batches):
-        own = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]  # copies have one row
-        key, node, size, at = key[own], node[own], size[own], at[own]
-        n = np.repeat((c := _buckets(key)[1]), c)
-        use = n > 1
-        if use.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (key, node, size, at, n)], names=["key", "node", "size", "at", "n"])
-
-
-def paired(least: float, lo: int, hi: int):
-    """(u, v) of rows (key, node, size, at, comp) sorted by key and node: of each bucket, the nodes from
-    place lo up to hi with all after them, unless joined already or too different in size or place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, size, at, comp in whole_keys(batches):
-            start, n = _buckets(key)
-            place = np.arange(len(key)) - np.repeat(start, n)
-            after = np.repeat(start + n, n) - np.arange(len(key)) - 1
-            one = np.repeat(np.minimum.reduceat(comp, start) == np.maximum.reduceat(comp, start), n)
-            centre = np.flatnonzero((place >= lo) & (place < hi) & (after > 0) & ~one)
-            total = np.cumsum(after[centre])
-            done = 0
-            while done < len(centre):
-                upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + _BLOCK)))
-                c = centre[done:upto]
-                done = upto
-                a = np.repeat(c, after[c])
-                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after[c]) - after[c], after[c])
-                ok = comp[a] != comp[b]
-                a, b = a[ok], b[ok]
-                most = np.minimum(at[a], at[b]) + 1 + np.minimum(size[a] - at[a], size[b] - at[b]) - 1
-                ok = most * (1 + least) >= least * (size[a].astype(np.int64) + size[b]) - 1e-6
-                pairs = np.unique(np.stack([node[a[ok]], node[b[ok]]], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+            ok = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint32) for x in (a, b))
+                ok.append(most_shared(a, b) * (1 + least) >= least * (int(a.sum()) + int(b.sum())) - 1e-6)
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -283,42 +141,158 @@ def verified(least: float):
     return run
 
 
-def linked_nodes(docs: DataFrame, nodes: DataFrame, total: int, least: float) -> DataFrame | None:
-    """(node, root) of the components of all links of ``least`` or more; none if there are no links."""
-    parts = partitions(docs.sparkSession)
-    index = indexed(docs, total, least).repartition(parts, "key").sortWithinPartitions("key", "node")
-    buckets = store(index.transform(in_arrow, met, "key long, node long, size int, at int, n long"))
-    largest = buckets.agg(F.max("n")).first()[0] or 0
-    texts = docs.select(F.col("doc_id").alias("own_id"), row_key().alias("own_k"), "text")
-    links, labels, lo, hi = None, None, 0, CENTRES
-    while lo < largest - 1:
-        now = buckets.where(f"n > {lo + 1}").drop("n")
-        now = now.withColumn("comp", F.col("node")) if labels is None else now.join(labels, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("comp"))
-        candidates = store(now.repartition(parts, "key").sortWithinPartitions("key", "node").transform(in_arrow, paired(least, lo, hi), "u long, v long").distinct())
-        wanted = Stored(candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "least.doc_id", "least.k"))
-        # texts take less disk than shingles; a row that is there several times gives the same
-        own = Stored(texts.join(wanted.small(), F.expr("own_k = k and own_id <=> doc_id")).select("node", "text").dropDuplicates(["node"]))
-        pairs = candidates.join(own.df.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(own.df.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-        found = store(pairs.select("u", "v", "a", "b").transform(in_arrow, verified(least), "u long, v long"))
-        own.drop()
-        if not found.isEmpty():
-            # earlier links are as good as those to their components' roots
-            links = found if labels is None else found.union(labels.select(F.col("node").alias("u"), F.col("root").alias("v")))
-            labels = store(components(links))
-        lo, hi = hi, hi + (hi - lo) * GROWTH
-    return labels
+def close_prints(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v): candidates by fingerprint, from (node, fp). Of the nodes with one fingerprint the least stands
+    for it; the others are candidates with it, and those of linked fingerprints with each other."""
+    least = scratch.store(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = with_minimum(nodes.select("node", "fp"), "fp", "node", "u").where("u <> node").select("u", F.col("node").alias("v"))
+    far = print_links(least).join(least.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    return same.union(far.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+
+
+def spread(rows: DataFrame, side: Stored) -> DataFrame:
+    """``rows`` (key, node, ...) joined with ``side``, one row a key, however many rows a key has."""
+    return rows.join(side.small(), "key") if side.is_small else dealt_join(rows, "key", "node", side.df)
+
+
+class Linker:
+    """Verified links between nodes, and the components they join so far."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, least: float):
+        self.texts = docs.select(F.col("doc_id").alias("own_id"), row_key().alias("own_k"), "text")
+        self.nodes, self.least, self.labels = nodes, least, None
+
+    def text_of(self, some: DataFrame, scratch: Scratch) -> DataFrame:
+        """(node, text) of the nodes of ``some``."""
+        wanted = scratch.stored(some.select("node").distinct().join(self.nodes, "node").select("node", "least.doc_id", "least.k"))
+        # a row that is there several times gives the same
+        return scratch.store(self.texts.join(wanted.small(), F.expr("own_k = k and own_id <=> doc_id")).select("node", "text").dropDuplicates(["node"]))
+
+    def link(self, pairs: DataFrame) -> None:
+        """Verifies candidates (u, v) and adds those that are similar; u may have very many."""
+        with Scratch() as scratch:
+            met = scratch.store(pairs.distinct())
+            sketches = self.nodes.select("node", "sketch")
+            with_a = dealt_join(met, "u", "v", sketches.toDF("u", "a"))
+            possibly = with_a.join(sketches.toDF("v", "b"), "v").select("u", "v", "a", "b").transform(in_arrow, possible(self.least), "u long, v long")
+            candidates = scratch.store(possibly)
+            if candidates.isEmpty():
+                return
+            own = self.text_of(candidates.select(F.explode(F.array("u", "v")).alias("node")), scratch)  # texts take less disk than shingles
+            both = dealt_join(candidates, "u", "v", own.toDF("u", "a")).join(own.toDF("v", "b"), "v")
+            found = scratch.store(both.select("u", "v", "a", "b").transform(in_arrow, verified(self.least), "u long, v long"))
+            if not found.isEmpty():
+                # earlier links are as good as those to their components' roots
+                links = found if self.labels is None else found.union(self.labels.select(F.col("node").alias("u"), F.col("root").alias("v")))
+                self.labels = store(components(links))
+
+    def label(self, rows: DataFrame, node: str, name: str) -> DataFrame:
+        """``rows`` with the root of ``node``, itself where it has no link."""
+        if self.labels is None:
+            return rows.withColumn(name, F.col(node))
+        return rows.join(self.labels.select(F.col("node").alias(node), F.col("root").alias("__root")), node, "left").withColumn(name, F.coalesce("__root", node)).drop("__root")
+
+
+def prefixes(texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(node, key, at, size) from (node, text): the shared ones of the rarest shingles of each node, of which
+    similar nodes share one; at is the shingle's place in the node's order, from 0, and size the node's number of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
+                keys = shingles(words_of(text.as_py() or b"")).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), node.as_py())), pa.array(keys), pa.array(np.full(len(keys), len(keys)))], names=["node", "key", "size"])
+
+    grams = scratch.store(texts.transform(in_arrow, run, "node long, key long, size long"))
+    shared = spread(grams, scratch.stored(grams.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")))
+    # shingles of one node only come first in the order
+    ranked = shared.select("node", "key", "size", F.expr("row_number() over (partition by node order by n, key) - 1 + size - count(*) over (partition by node)").alias("at"))
+    return ranked.where(f"at <= size - ceil({least}D * size - 1e-9D)")
+
+
+class Buckets:
+    """Rows (key, node, weight, at, size) of the buckets of several nodes; weight is the size of a node's buckets."""
+
+    def __init__(self, linker: Linker, keyed: DataFrame, scratch: Scratch):
+        self.linker = linker
+        with Scratch() as own:
+            shared = own.store(spread(keyed, own.stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))))
+            self.rows = scratch.store(shared.join(shared.groupBy("node").agg(F.sum("n").alias("weight")), "node").select("key", "node", "weight", "at", "size"))
+        self.first = scratch.stored(self.rows.groupBy("key").agg(F.expr("max(struct(weight, node, at, size))").alias("c")).select("key", F.col("c.node").alias("centre"), F.struct("c.node", "c.at", "c.size").alias("c")))
+
+    def labelled(self, scratch: Scratch) -> DataFrame:
+        """The rows with the component of each node, and with the first centre and its component."""
+        return scratch.store(spread(self.linker.label(self.rows, "node", "comp"), scratch.stored(self.linker.label(self.first.df, "centre", "comp0"))))
+
+    def within(self) -> str:
+        """Whether a row and a centre c, if their bucket's shingle is the first they share, can be similar."""
+        return f"least(size - at, c.size - c.at) * (1 + {self.linker.least}D) >= {self.linker.least}D * (size + c.size) - 1e-6D"
+
+    def link_first(self) -> None:
+        """Candidates of every first centre with the nodes that aren't joined with it."""
+        with Scratch() as scratch:
+            self.linker.link(self.labelled(scratch).where(f"comp <> comp0 and {self.within()}").select(F.col("centre").alias("u"), F.col("node").alias("v")))
+
+    def link_others(self, scratch: Scratch) -> None:
+        """Candidates of every node that isn't joined with the first centre, until none is left."""
+        used, most = None, CENTRES
+        while True:
+            with Scratch() as own:
+                now = self.labelled(own)
+                others = now.where("comp <> comp0")
+                others = own.store(others if used is None else others.join(used, ["key", "node"], "left_anti"))
+                if others.isEmpty():
+                    return
+                # at most so many centres of a bucket have their turn, one from each of as many slots
+                chosen = others.groupBy("key", F.expr(f"pmod(xxhash64(node, {most}), {most})").alias("slot")).agg(F.expr("max(struct(weight, node, comp, at, size))").alias("c"))
+                chosen = own.store(chosen.select("key", "c.node", "c"))
+                centres = own.stored(chosen.groupBy("key").agg(F.collect_list("c").alias("cs")))
+                live = spread(now.select("key", "node", "weight", "comp", "at", "size"), centres)
+                pairs = live.select("node", F.expr(f"explode(filter(cs, c -> comp <> c.comp and {self.within()}))").alias("c"))
+                self.linker.link(pairs.select(F.col("c.node").alias("u"), F.col("node").alias("v")))
+                self.rows = scratch.store(live.select("key", "node", "weight", "at", "size"))
+                self.first = scratch.stored(self.first.df.join(centres.df.select("key"), "key", "left_semi"))
+                chosen = chosen.select("key", "node")
+                used = scratch.store(chosen if used is None else used.union(chosen))
+                most = min(most * GROWTH, MOST_CENTRES)
+
+
+def linked_nodes(docs: DataFrame, nodes: DataFrame, keys: Stored, least: float) -> DataFrame | None:
+    """(node, root) of the components of all links of ``least`` or more; none if there are no links.
+
+    ``keys`` (node, keys) is deleted once it was read."""
+    linker = Linker(docs, nodes, least)
+    with Scratch() as scratch:
+        linker.link(close_prints(nodes, scratch))
+    with Scratch() as scratch:
+        # MinHash buckets have no order of shingles, so no bound: zeros always pass
+        wide = Buckets(linker, keys.df.select("node", F.explode("keys").alias("key"), F.expr("0L as at"), F.expr("0L as size")), scratch)
+        keys.drop()
+        wide.link_first()
+        now = wide.labelled(scratch)
+        several = scratch.stored(now.where("comp <> comp0").select("key").distinct())
+        apart = store(spread(now.select("key", "node"), several).select("node").distinct())
+    with Scratch() as scratch:
+        with Scratch() as own:
+            ranked = scratch.store(prefixes(linker.text_of(apart, own), least, own))
+        fine = Buckets(linker, ranked, scratch)
+        fine.link_first()
+        fine.link_others(scratch)
+    return linker.labels
 
 
 def groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, k, first_id, first_k): each row's group, by its first row; k is common.row_key."""
-    rows = store(nodes_of(docs))
-    # a null id comes last
-    nodes = store(rows.groupBy("node").agg(F.expr("min(struct(isnull(doc_id) as none, doc_id, k)) as least")))
-    labels = linked_nodes(docs, nodes, rows.count(), least)
+    with Scratch() as scratch:
+        found = scratch.store(nodes_of(docs))
+        rows = store(found.select("doc_id", "k", "node"))
+        # a null id comes last
+        nodes = store(found.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch"), F.expr("min(struct(isnull(doc_id) as none, doc_id, k)) as least")))
+        keys = Stored(found.groupBy("node").agg(F.any_value("keys").alias("keys")))
+    labels = linked_nodes(docs, nodes, keys, least)
     if labels is None:
         of_node = nodes.select("node", F.col("least").alias("first"))
     else:
-        linked = labels.join(nodes, "node")
-        lowest = linked.groupBy("root").agg(F.min("least").alias("first"))
-        of_node = nodes.join(linked.select("node", "root").join(lowest, "root").select("node", "first"), "node", "left").select("node", F.coalesce("first", "least").alias("first"))
-    return rows.join(of_node, "node").select("doc_id", "k", F.col("first.doc_id").alias("first_id"), F.col("first.k").alias("first_k"))
+        linked = with_minimum(labels.join(nodes.select("node", "least"), "node"), "root", "least", "first")
+        of_node = nodes.select("node", "least").join(linked.select("node", "first"), "node", "left").select("node", F.coalesce("first", "least").alias("first"))
+    return dealt_join(rows, "node", "k", store(of_node)).select("doc_id", "k", F.col("first.doc_id").alias("first_id"), F.col("first.k").alias("first_k"))

@@ -2,9 +2,7 @@ import itertools
 import random
 
 import numpy as np
-import pytest
 from fixtures import ODD, make
-from test_simhash import cluster
 
 from inkflow.llm import graph, similar
 from inkflow.llm.common import documents
@@ -61,21 +59,6 @@ def test_edited_copies(spark):
     assert all(got[i] // 10 == i // 10 for i, _ in want)
 
 
-@pytest.mark.parametrize("dense", [2048, 80])
-def test_links_join_what_balls_join(dense, monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(similar, "DENSE", dense)
-    fps = np.array(cluster(400, 5, centres=3), np.uint64)
-    batch = pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), 3, np.int32)), pa.array(fps.view(np.int64)), pa.array(np.arange(len(fps)))], names=["place", "fp", "node"])
-    b = next(similar.variants(iter([batch])))
-    key, ball, fp, node = (b.column(i).to_numpy() for i in range(4))
-    order = np.lexsort((ball, key))
-    u, v = similar.meet(key[order], ball[order], fp[order].view(np.uint64), node[order])
-    links = [(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if int(fps[i] ^ fps[j]).bit_count() <= 3]
-    assert labels_of(len(fps), list(zip(u.tolist(), v.tolist()))) == labels_of(len(fps), links)
-
-
 def test_odd_and_empty(spark):
     got = similar.groups(make(spark, ODD)).collect()
     assert len(got) == len(ODD)
@@ -122,9 +105,31 @@ def test_appended_and_replaced_passages_against_brute_force(spark):
     assert partition_of(spark, texts) == labels_of(len(texts), list(links))
 
 
-@pytest.mark.parametrize("common", [1, 10**9])
-def test_no_pair_of_documents_is_missed(spark, common, monkeypatch):
-    monkeypatch.setattr(similar, "COMMON", common)
+def test_no_pair_of_documents_is_missed(spark):
     rows = [(i, r.text) for i, r in enumerate(documents(spark, f"{DATA}/sf0.01").select("text").collect())]
     texts = [t for _, t in rows]
     assert partition_of(spark, texts) == labels_of(len(texts), list(brute_links(texts)))
+
+
+def test_unlike_nodes_of_one_bucket_all_have_their_turn(spark):
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    common, texts = some(120), []
+    for _ in range(40):  # pairs of copies that share much with all others, but not enough
+        w = common + some(70)
+        v = list(w)
+        v[rng.randrange(130, 190)] = "edit"
+        texts += [" ".join(w), " ".join(v)]
+    links = brute_links(texts)
+    assert len(links) == 40
+    assert partition_of(spark, texts) == labels_of(len(texts), list(links))
+
+
+def test_sketches_bound_what_sets_share():
+    rng = np.random.default_rng(2)
+    for n, m, both in ((40, 50, 30), (5, 900, 5), (3000, 2000, 1500), (1, 1, 0)):
+        a, b = rng.integers(0, 1 << 63, n, dtype=np.uint64), rng.integers(0, 1 << 63, m, dtype=np.uint64)
+        b[:both] = a[:both]
+        a, b = np.unique(a), np.unique(b)
+        assert similar.most_shared(similar.sketch(a), similar.sketch(b)) >= len(np.intersect1d(a, b))
