@@ -1,5 +1,8 @@
 import hashlib
+import math
 import re
+import time
+from collections import Counter
 
 from fixtures import ODD, make
 from hypothesis import given, settings
@@ -39,19 +42,46 @@ def test_base_is_that_of_the_patterns(text):
     assert pii.base_spans(text, RULES) == brute(text)
 
 
+def brute_terms(texts):
+    """The revealing terms of some texts, by counting documents."""
+    entities, terms, both, words = Counter(), Counter(), Counter(), lambda t: {w.lower() for w in re.findall(r"[^\W\d_]{2,}", t)}
+    for t in texts:
+        own = {pii.entity(k, t[s:e]) for s, k, e in brute(t)}
+        entities.update(own)
+        terms.update(words(t))
+        both.update((e, w) for e in own for w in words(t))
+    n = len(texts)
+    told = lambda e, w, m: math.log(n * m / (terms[w] * entities[e])) >= pii.DISCLOSURE * math.log(n / entities[e])
+    return {w for (e, w), m in both.items() if m >= pii.SUPPORT and entities[e] < n and told(e, w, m)}
+
+
 def test_query_against_brute_force(spark):
     docs = documents(spark, f"{DATA}/sf0.01")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     rows = pii.op6_pii(spark, f"{DATA}/sf0.01").collect()
     assert len(rows) == len(texts)
+    revealing, seen = brute_terms(list(texts.values())), 0
+    assert revealing
     for r in rows:
-        spans = brute(texts[r.doc_id])
+        text = texts[r.doc_id]
+        spans = brute(text)
         base = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in spans)
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in spans) for i in range(4)]
-        own = r.spans.split(",") if r.spans else []
-        assert [x for x in own if not x.startswith("term")] == (base.split(",") if base else [])
-        assert spans or not own
+        found = [(m.start(), 4, m.end()) for m in re.finditer(r"[^\W\d_]{2,}", text) if m[0].lower() in revealing]
+        every = sorted(spans + [x for x in found if not any(x[0] < e and s < x[2] for s, _, e in spans)])
+        assert r.spans == ",".join(f"{[*pii.KINDS, 'term'][k]}:{s}:{e}" for s, k, e in every)
+        seen += bool(found) and not spans
+    assert seen  # also documents without an entity have spans of terms
+
+
+def test_long_numbers():
+    zeros, digits = "0" * 5000, "7" * 1_000_000
+    text = f"{zeros}1.1.1.1 and {zeros}256.1.1.1 then 1.{digits} and {digits}. {zeros}.0.0.0"
+    began = time.perf_counter()
+    got = [(s, e) for s, k, e in pii.base_spans(text, RULES) if k == 1]
+    assert time.perf_counter() - began < 5
+    assert got == [(0, 5007), (len(text) - 5006, len(text))]
 
 
 def test_terms_that_reveal_an_entity(spark):
