@@ -1,19 +1,20 @@
 """Language-model scores by deleted interpolation.
 
-The model mixes three estimates of a word: its relative frequency after the word before it, its
-relative frequency overall, and one over the vocabulary's size plus one for unknown words. A text's
-first word follows the end token. The weights depend on how often the word before was seen, in
-buckets of powers of two. They are learned by expectation-maximisation on a fold of the training
+The model mixes four estimates of a word: its relative frequency after the two words before it, after
+the word before it, and overall, and one over the vocabulary's size plus one for unknown words. A
+text's first word follows the end token; only later words have two words before them. The weights
+depend on how often the context was seen, in buckets of powers of two: the two words before, or where
+these are new the one before. They are learned by expectation-maximisation on a fold of the training
 documents that is deleted from the counts for that; scores then use the counts of all training
-documents. Expectation-maximisation needs only the ratios of the three estimates, so the deleted
-fold's tokens are counted in cells of bucket and ratios to a quarter of an octave: a table whose
-size doesn't depend on the corpus.
+documents. Expectation-maximisation needs only the ratios of the estimates, so the deleted fold's
+tokens are counted in cells of bucket and ratios to half an octave: a table whose size doesn't depend
+on the corpus.
 
 Texts become blocks of token numbers, each of one fold, in the shared folder. Every block sends its
-distinct words and word pairs with their counts to buckets by hash, so what a third of all tokens
-share reaches its bucket once a block; the bucket adds up and answers each block. Words are told
-apart by 64 bits of XXH64, pairs by 56 bits; sums of 10**9 distinct words have a collision with a
-chance of 3 %.
+distinct words, pairs and triples with their counts to buckets by hash, triples in a round of their
+own, so what a third of all tokens share reaches its bucket once a block; the bucket adds up and
+answers each block. Words are told apart by 64 bits of XXH64, pairs and triples by 56 bits; sums of
+10**9 distinct words have a collision with a chance of 3 %.
 
 Nulls: a null text is empty and has the end token only; a null id counts as the empty text when
 folds are drawn. Repeated rows each give a row and train each. Without training documents every
@@ -41,11 +42,13 @@ SEED = 0
 #: The end token's hash, and the multipliers that mix the hashes of a pair.
 END, LEFT, RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), np.uint64(0xBF58476D1CE4E5B9)
 FIT, DELETED, HELD_OUT = 0, 1, 2
-WORDS, PAIRS, STATS = 0, 1, 2
+WORDS, PAIRS, TRIPLES, STATS = 0, 1, 2, 3
+BITS = {WORDS: 64, PAIRS: 56, TRIPLES: 56}
 FOLDS = 10
-BUCKETS, STEPS = 64, 100
+#: Weights' buckets: LEVELS by the frequency of the word before, then as many by that of the two words before.
+LEVELS, STEPS = 64, 100
 #: Ratios of estimates are held to 1/GRAIN of an octave, from 2**-25 to 2**75.
-GRAIN, OFFSET, CELLS = 4, 100, 400
+GRAIN, OFFSET, CELLS = 2, 50, 200
 _SPACE = b" \t\n\r\x0b\x0c"
 
 
@@ -71,6 +74,16 @@ def pair_keys(vocabulary: np.ndarray, index: np.ndarray, first: np.ndarray) -> n
     return (z ^ (z >> np.uint64(29))) >> np.uint64(8)
 
 
+def triple_keys(vocabulary: np.ndarray, index: np.ndarray, pair: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all tokens but the texts' first, and 56 bits for each with the two before it."""
+    later = np.ones(len(index), bool)
+    later[first] = False
+    at = np.flatnonzero(later)
+    z = (pair[at - 1] * RIGHT) ^ ((vocabulary[index[at]] + (pair[at - 1] >> np.uint64(13))) * LEFT)
+    z = (z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return at, (z ^ (z >> np.uint64(29))) >> np.uint64(8)
+
+
 def planes(x: np.ndarray) -> np.ndarray:
     """The bytes of eight-byte integers, all lowest ones first: those of small values compress away."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).ravel()
@@ -135,21 +148,26 @@ def bucket_of(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(bits - 24)).astype(np.int64) * buckets) >> 24
 
 
-def requests(buckets: int):
-    """Rows (part, block, fold, kind, bucket, data): distinct keys with their counts, by bucket."""
+def requests(kinds: tuple[int, ...], buckets: int):
+    """Rows (part, block, fold, kind, bucket, data): distinct keys of ``kinds`` with their counts, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, fold, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 length, index, vocabulary = unblock(data.as_py())
-                pairs = np.unique(pair_keys(vocabulary, index, np.r_[0, np.cumsum(length)[:-1]]), return_counts=True)
+                first = np.r_[0, np.cumsum(length)[:-1]]
+                pair = pair_keys(vocabulary, index, first)
                 rows = []
-                for kind, bits, (keys, n) in ((WORDS, 64, (vocabulary, np.bincount(index))), (PAIRS, 56, pairs)):
-                    bucket = bucket_of(keys, bits, buckets)
-                    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                for kind in kinds:
+                    if kind == WORDS:
+                        keys, n = vocabulary, np.bincount(index)
+                    else:
+                        keys, n = np.unique(pair if kind == PAIRS else triple_keys(vocabulary, index, pair, first)[1], return_counts=True)
+                    bucket = bucket_of(keys, BITS[kind], buckets)
+                    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, np.int64)
                     for a, b in zip(cut, np.r_[cut[1:], len(keys)]):
                         rows.append((kind * buckets + int(bucket[a]), block, fold, kind, int(bucket[a]), pack([steps(keys[a:b]), planes(n[a:b])] if fold != HELD_OUT else [steps(keys[a:b])])))
-                cols = list(zip(*rows))
+                cols = list(zip(*rows)) or [()] * 6
                 types = (pa.int32(), pa.int64(), pa.int32(), pa.int8(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["part", "block", "fold", "kind", "bucket", "data"])
 
@@ -197,7 +215,7 @@ class Counted:
     """The tokens of a block with the counts that its buckets answered."""
 
     def __init__(self, table: pa.Table):
-        parts = {WORDS: {}, PAIRS: {}}
+        parts = {WORDS: {}, PAIRS: {}, TRIPLES: {}}
         for kind, bucket, data, ids in zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["data"], table["ids"]):
             if kind in parts:
                 parts[kind][bucket] = unpack(data.as_py())
@@ -205,15 +223,23 @@ class Counted:
                 self.ids = ids.values
                 self.length, index, vocabulary = unblock(data.as_py())
         self.first = np.r_[0, np.cumsum(self.length)[:-1]]
-        self._index, self._vocabulary, self._parts = index, vocabulary, parts
+        self._index, self._parts = index, parts
         self._before = np.r_[0, index[:-1]]
         self._before[self.first] = np.searchsorted(vocabulary, END)
-        _, self._pair = np.unique(pair_keys(vocabulary, index, self.first), return_inverse=True)
-
-    def counts(self, which: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For every token the counts of its pair, of the token before it, and of itself."""
-        word, pair = (np.concatenate([unplanes(x[b][which]) for b in sorted(x)]).astype(np.int64) for x in (self._parts[WORDS], self._parts[PAIRS]))
-        return pair[self._pair], word[self._before], word[self._index]
+        pair = pair_keys(vocabulary, index, self.first)
+        self._later, triple = triple_keys(vocabulary, index, pair, self.first)
+        _, self._pair = np.unique(pair, return_inverse=True)
+        _, self._triple = np.unique(triple, return_inverse=True)
+
+    def counts(self, which: int = 0) -> np.ndarray:
+        """Five rows: for every token the counts of its triple and of the two tokens before it (zero
+        for a text's first), of its pair and of the token before it, and of itself."""
+        word, pair, triple = (
+            np.concatenate([unplanes(x[b][which]) for b in sorted(x)] or [np.zeros(0)]).astype(np.int64) for x in (self._parts[k] for k in (WORDS, PAIRS, TRIPLES)))
+        out = np.zeros((5, len(self._index)), np.int64)
+        out[2], out[3], out[4] = pair[self._pair], word[self._before], word[self._index]
+        out[0, self._later], out[1, self._later] = triple[self._triple], out[2, self._later - 1]
+        return out
 
 
 def level(n: np.ndarray) -> np.ndarray:
@@ -221,6 +247,16 @@ def level(n: np.ndarray) -> np.ndarray:
     return np.frexp(n.astype(float))[1]
 
 
+def bucket_of_context(counts: np.ndarray) -> np.ndarray:
+    return np.where(counts[1] > 0, LEVELS + level(counts[1]), level(counts[3]))
+
+
+def estimates(counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Relative frequencies after two words, after one and overall."""
+    triple, two, pair, one, word = counts
+    return triple / np.maximum(two, 1), pair / np.maximum(one, 1), word / max(n, 1)
+
+
 def cells(v: int, n: int):
     """Rows (cell, n): deleted tokens by bucket and by the ratios of their estimates to 1 / (v + 1)."""
 
@@ -230,36 +266,44 @@ def cells(v: int, n: int):
         return np.where(x > 0, np.clip(np.where(x > 0, q, 0) + OFFSET, 1, CELLS - 1), 0).astype(np.int64)
 
     def run(table: pa.Table) -> pa.Table:
-        pair, context, word = Counted(table).counts()
-        q2, q1 = ratio(pair / np.maximum(context, 1) * (v + 1)), ratio(word / max(n, 1) * (v + 1))
-        cell, m = np.unique((level(context) * CELLS + q2) * CELLS + q1, return_counts=True)
-        return pa.table([pa.array(cell.astype(np.int64)), pa.array(m.astype(np.int64))], names=["cell", "n"])
+        counts = Counted(table).counts()
+        cell = bucket_of_context(counts).astype(np.int64)
+        for x in estimates(counts, n):
+            cell = cell * CELLS + ratio(x * (v + 1))
+        cell, m = np.unique(cell, return_counts=True)
+        return pa.table([pa.array(cell), pa.array(m.astype(np.int64))], names=["cell", "n"])
 
     return run
 
 
 def learn(cell: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Weights (pair, word, uniform) of each bucket, by expectation-maximisation over the cells.
-
-    A bucket without deleted tokens has the weights of the next lower one with some."""
-    weights = np.tile(np.array([0.5, 0.4, 0.1]), (BUCKETS, 1))
-    weights[0] = (0, 0.9, 0.1)
-    b = cell // (CELLS * CELLS)
-    ratios = np.stack([np.where(q > 0, 2.0 ** ((q - OFFSET) / GRAIN), 0) for q in (cell // CELLS % CELLS, cell % CELLS)] + [np.ones(len(cell))], axis=1)
+    """Weights (triple, pair, word, uniform) of each bucket, by expectation-maximisation over the cells.
+
+    A bucket without deleted tokens has the weights of the next lower one with some, of its kind."""
+    weights = np.tile(np.array([0.4, 0.3, 0.2, 0.1]), (2 * LEVELS, 1))
+    weights[:LEVELS] = (0, 0.5, 0.4, 0.1)
+    weights[0] = (0, 0, 0.9, 0.1)
+    fixed = weights == 0
+    first = weights.copy()
+    b = cell // CELLS**3
+    ratios = np.stack([np.where(q > 0, 2.0 ** ((q - OFFSET) / GRAIN), 0) for q in (cell // CELLS**2 % CELLS, cell // CELLS % CELLS, cell % CELLS)] + [np.ones(len(cell))], axis=1)
     if len(cell):
         for _ in range(STEPS):
             share = weights[b] * ratios
             share *= (n / share.sum(axis=1))[:, None]
-            total = np.full((BUCKETS, 3), 0.01)  # no weight becomes zero
-            np.add.at(total, b, share)
-            total[0, 0] = 0
+            total = np.stack([np.bincount(b, x, 2 * LEVELS) for x in share.T], axis=1) + 0.01  # no weight becomes zero
+            total[fixed] = 0
             weights = total / total.sum(axis=1, keepdims=True)
-        seen = np.bincount(b, n, BUCKETS) > 0
-        last = np.maximum.accumulate(np.where(seen, np.arange(BUCKETS), -1))
-        first = int(np.flatnonzero(seen)[0])
-        weights = weights[np.where(last >= 0, last, first)]
+        seen = np.bincount(b, n, 2 * LEVELS) > 0
+        for part in (slice(0, LEVELS), slice(LEVELS, 2 * LEVELS)):
+            own = np.flatnonzero(seen[part])
+            if not len(own):
+                weights[part] = first[part]
+                continue
+            last = np.maximum.accumulate(np.where(seen[part], np.arange(LEVELS), -1))
+            weights[part] = weights[part][np.where(last >= 0, last, own[0])]
         if not seen[0]:
-            weights[0] = (0, 0.9, 0.1)
+            weights[0] = first[0]
     return weights
 
 
@@ -268,12 +312,13 @@ def scores(v: int, n: int, weights: np.ndarray, names: list[str]):
 
     def run(table: pa.Table) -> pa.Table:
         block = Counted(table)
-        counts = [block.counts()]
+        counts = block.counts()
         if int(max(table["fold"].to_pylist())) == DELETED:
-            counts.append(block.counts(1))
-        pair, context, word = (sum(x) for x in zip(*counts))
-        w = weights[level(context)]
-        p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(n, 1) + w[:, 2] / (v + 1)
+            counts += block.counts(1)
+        w, word = weights[bucket_of_context(counts)], counts[4]
+        p = w[:, 3] / (v + 1)
+        for i, x in enumerate(estimates(counts, n)):
+            p += w[:, i] * x
         if not n:
             p = np.ones(len(word))
         add = lambda x: np.add.reduceat(x, block.first)
@@ -291,8 +336,12 @@ def score(docs: DataFrame) -> DataFrame:
     ``fold``: FIT and DELETED documents train, the latter also weigh; HELD_OUT ones are only scored."""
     n = partitions(docs.sparkSession)
     own = Stored(blocks(docs)).df
-    asked = own.select("block", "fold", "data").transform(in_arrow, requests(4 * n), "part int, block long, fold int, kind byte, bucket int, data binary")
-    given = Stored(asked.repartition(n, "part").sortWithinPartitions("part").transform(in_arrow, answers, "block long, kind byte, bucket int, data binary, v long, n long, v_fit long, n_fit long")).df
+
+    def ask(*kinds: int) -> DataFrame:
+        asked = own.select("block", "fold", "data").transform(in_arrow, requests(kinds, 4 * n), "part int, block long, fold int, kind byte, bucket int, data binary")
+        return Stored(asked.repartition(n, "part").sortWithinPartitions("part").transform(in_arrow, answers, "block long, kind byte, bucket int, data binary, v long, n long, v_fit long, n_fit long")).df
+
+    given = ask(WORDS, PAIRS).union(ask(TRIPLES))  # one after the other: shuffle files of the first are gone
     total = given.where(f"kind = {STATS}").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("v", "n", "v_fit", "n_fit"))).first()
     whole = own.select("block", "fold", "ids", F.expr("cast(-1 as byte) as kind"), F.expr("0 as bucket"), "data")
 
@@ -304,8 +353,8 @@ def score(docs: DataFrame) -> DataFrame:
 
     # one number for each block of the deleted fold, about a ten-thousandth of a per mille of the text
     counted = joined(f"fold = {DELETED}").applyInArrow(cells(total.v_fit, total.n_fit), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    found = sorted((r.cell, r.n) for r in counted.toLocalIterator())
-    weights = learn(np.array([x for x, _ in found], np.int64), np.array([x for _, x in found], float))
+    found = counted.toArrow().sort_by("cell")
+    weights = learn(found["cell"].to_numpy(), found["n"].to_numpy().astype(float))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined("").applyInArrow(scores(total.v, total.n, weights, names), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -23,12 +23,13 @@ def remainder(i):
 
 def brute(rows, weights=None):
     """Contract columns by plain counting, and with ``weights`` the model's score."""
-    word, pair = Counter(), Counter()
+    word, pair, triple = Counter(), Counter(), Counter()
     for i, t in rows:
         if remainder(i):
             w = tokens(t)
             word.update(w)
             pair.update(zip([None, *w], w))
+            triple.update(zip([None, *w], w, w[1:]))
     n, v = sum(word.values()), len(word)
     out = []
     for i, t in rows:
@@ -36,9 +37,10 @@ def brute(rows, weights=None):
         base = sum(math.log10((word[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
         score = 0.0
         if weights is not None:
-            for a, b in zip([None, *w], w):
-                l2, l1, l0 = weights[word[a].bit_length()]
-                score += math.log10(l2 * pair[a, b] / max(word[a], 1) + l1 * word[b] / n + l0 / (v + 1))
+            for first, a, b, c in zip([True, *[False] * len(w)], [0, None, *w], [None, *w], w):
+                two, three = (0, 0) if first else (pair[a, b], triple[a, b, c])
+                l3, l2, l1, l0 = weights[64 + two.bit_length() if two else word[b].bit_length()]
+                score += math.log10(l3 * three / max(two, 1) + l2 * pair[b, c] / max(word[b], 1) + l1 * word[c] / n + l0 / (v + 1))
         out.append((i, remainder(i) == 0, len(w), sum(word[x] > 0 for x in w), n, base, score))
     return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, r[2], r[5]))
 
@@ -63,20 +65,23 @@ def test_query_against_brute_force(spark, monkeypatch):
     held = [r for r in got if r.held_out]
     # the mixture must tell held-out text better than the base
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    assert np.allclose(learned[0].sum(axis=1), 1) and (learned[0][1:] > 0).all()
+    assert np.allclose(learned[0].sum(axis=1), 1) and (learned[0][1:, 1:] > 0).all() and (learned[0][64:] > 0).all()
 
 
 def test_learning_raises_the_likelihood():
     rng = np.random.default_rng(1)
-    q2, q1, b = rng.integers(0, 200, 500), rng.integers(60, 160, 500), rng.integers(0, 12, 500)
+    q3, q2, q1, b = rng.integers(0, 100, 500), rng.integers(0, 100, 500), rng.integers(30, 80, 500), rng.choice([0, 1, 2, 3, 65, 66, 67, 68], 500)
+    q3[b < 64] = 0
     q2[b == 0] = 0
-    cell, n = (b * scoring.CELLS + q2) * scoring.CELLS + q1, rng.integers(1, 50, 500).astype(float)
-    ratios = np.stack([np.where(q > 0, 2.0 ** ((q - scoring.OFFSET) / scoring.GRAIN), 0) for q in (q2, q1)] + [np.ones(500)], axis=1)
+    cell, n = ((b * scoring.CELLS + q3) * scoring.CELLS + q2) * scoring.CELLS + q1, rng.integers(1, 50, 500).astype(float)
+    ratios = np.stack([np.where(q > 0, 2.0 ** ((q - scoring.OFFSET) / scoring.GRAIN), 0) for q in (q3, q2, q1)] + [np.ones(500)], axis=1)
     likelihood = lambda w: (n * np.log((w[b] * ratios).sum(axis=1))).sum()
     best = scoring.learn(cell, n)
     for _ in range(50):
-        other = rng.dirichlet([1, 1, 1], scoring.BUCKETS)
-        other[0] = (0, 0.5, 0.5)
+        other = rng.dirichlet([1, 1, 1, 1], 2 * scoring.LEVELS)
+        other[:64, 0] = 0
+        other[0, 1] = 0
+        other /= other.sum(axis=1, keepdims=True)
         assert likelihood(best) >= likelihood(0.9 * best + 0.1 * other) - 0.5
 
 
