@@ -110,13 +110,22 @@ def map_to_original(box: str, pad_left: str, pad_top: str, ratio_w: str, ratio_h
 
 def unclip(box: str, ratio: float = 1.6) -> Column:
     """A rectangle grown on all sides by area * ratio / perimeter: what growing with round corners
-    and taking the least rectangle around comes to. Null for a rectangle without area."""
+    and taking the least rectangle around comes to, with its corners sorted again. Null for a rectangle
+    without area."""
     sides = f"named_struct('w', {distance('q_', 0, 1)}, 'h', {distance('q_', 0, 3)})"
     corner = lambda i, u, v: ", ".join(
         f"'{c}', q_[{i}].{c} + {u} * d_ * (q_[1].{c} - q_[0].{c}) / s_.w + {v} * d_ * (q_[3].{c} - q_[0].{c}) / s_.h" for c in "xy")
     corners = ", ".join(f"named_struct({corner(i, u, v)})" for i, (u, v) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1))))
     grown = bound(f"s_.w * s_.h * {ratio} / (2 * (s_.w + s_.h))", "d_", f"array({corners})")
-    return F.expr(bound(box, "q_", bound(sides, "s_", f"if(s_.w > 0 and s_.h > 0, {grown}, null)")))
+    return F.expr(bound(box, "q_", bound(sides, "s_", f"if(s_.w > 0 and s_.h > 0, {sort_corners_sql(grown)}, null)")))
+
+
+def sort_corners_sql(corners: str) -> str:
+    """Top left, top right, bottom right, bottom left: the two leftmost and the two rightmost, each by y."""
+    by = lambda c, of: f"transform(array_sort(transform({of}, (g_, i_) -> named_struct('by', g_.{c}, 'i', i_, 'p', g_))), g_ -> g_.p)"
+    left, right = by("y", "slice(h_, 1, 2)"), by("y", "slice(h_, 3, 2)")
+    pairs = bound(f"named_struct('l', {left}, 'r', {right})", "lr_", "array(lr_.l[0], lr_.r[0], lr_.r[1], lr_.l[1])")
+    return bound(by("x", corners), "h_", pairs)
 
 
 def bounding_rect(points: str) -> Column:

@@ -51,6 +51,17 @@ def line_tensor(image: np.ndarray, height: int, resized: int, width: int) -> np.
     return out
 
 
+def colour(data: bytes, height: int, width: int) -> np.ndarray:
+    """The bytes of an image of one, three or four channels as three channels: grey is repeated, alpha left out."""
+    x = np.frombuffer(data, np.uint8).reshape(height, width, -1)
+    return np.repeat(x, 3, axis=2) if x.shape[2] == 1 else x[:, :, :3]
+
+
+def best_class(scores: np.ndarray, axis: int) -> np.ndarray:
+    """The first largest of the scores; those that are no numbers don't count, and the first stands for none."""
+    return np.where(np.isnan(scores), -np.inf, scores).argmax(axis=axis)
+
+
 def turn_half(image: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(image[::-1, ::-1])
 
@@ -103,20 +114,25 @@ def label(mask: np.ndarray, corners: bool = True) -> np.ndarray:
     return out
 
 
-def contours(mask: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(points, region) of each outer border and each hole's border, by first pixel.
+def contours(mask: np.ndarray, most: int | None = None) -> list[tuple[np.ndarray, tuple[int, int, np.ndarray]]]:
+    """(points, (top, left, region)) of each outer border and each hole's border, by first pixel, ``most`` at most.
 
-    Points are (x, y) of border pixels; a region is what the border encloses, itself included."""
-    found = []
+    Points are (x, y) of border pixels; a region is what the border encloses, itself included, as a mask
+    of its own rectangle and no larger."""
+    found, h, w = [], *mask.shape
     whole = np.pad(mask, 1)
+
+    def placed(y: int, x: int, region: np.ndarray) -> tuple[int, int, np.ndarray]:
+        """Without the margin of the padded mask, where the rectangle holds a part of it."""
+        top, left = max(y - 1, 0), max(x - 1, 0)
+        return top, left, region[top - (y - 1) : h - (y - 1), left - (x - 1) : w - (x - 1)]
+
     outside, numbers = label(~whole, corners=False), label(whole)
     # each part is looked at within its own rectangle and a margin
     for y, x, own in _parts(numbers, 0):
         around = label(~own, corners=False)
         ys, xs = np.nonzero(own)
-        region = np.zeros(whole.shape, bool)
-        region[y : y + own.shape[0], x : x + own.shape[1]] = around != around[0, 0]
-        found.append(((ys[0] + y, xs[0] + x, 0), np.stack([xs + x - 1, ys + y - 1], 1), region[1:-1, 1:-1]))
+        found.append(((ys[0] + y, xs[0] + x, 0), np.stack([xs + x - 1, ys + y - 1], 1), placed(y, x, around != around[0, 0])))
     for y, x, hole in _parts(outside, outside[0, 0]):
         beside = hole.copy()
         beside[1:] |= hole[:-1]
@@ -124,10 +140,8 @@ def contours(mask: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         beside[:, 1:] |= hole[:, :-1]
         beside[:, :-1] |= hole[:, 1:]
         ys, xs = np.nonzero(beside & ~hole)
-        region = np.zeros(whole.shape, bool)
-        region[y : y + hole.shape[0], x : x + hole.shape[1]] = beside
-        found.append(((ys[0] + y, xs[0] + x, 1), np.stack([xs + x - 1, ys + y - 1], 1), region[1:-1, 1:-1]))
-    return [(p, r) for _, p, r in sorted(found, key=lambda f: f[0])]
+        found.append(((ys[0] + y, xs[0] + x, 1), np.stack([xs + x - 1, ys + y - 1], 1), placed(y, x, beside)))
+    return [(p, r) for _, p, r in sorted(found, key=lambda f: f[0])[:most]]
 
 
 def _parts(numbers: np.ndarray, but: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -195,7 +209,7 @@ def score_fast(prob: np.ndarray, box: np.ndarray) -> float:
     h, w = prob.shape
     x0, y0 = (int(np.clip(np.floor(box[:, i].min()), 0, n - 1)) for i, n in ((0, w), (1, h)))
     x1, y1 = (int(np.clip(np.ceil(box[:, i].max()), 0, n - 1)) for i, n in ((0, w), (1, h)))
-    inside = fill(np.trunc(box - (x0, y0)), (y1 - y0 + 1, x1 - x0 + 1))
+    inside = fill(np.rint(box - (x0, y0)), (y1 - y0 + 1, x1 - x0 + 1))
     part = prob[y0 : y1 + 1, x0 : x1 + 1]
     return float(part[inside].mean()) if inside.any() else 0.0
 
@@ -206,14 +220,14 @@ def score_slow(prob: np.ndarray, region: np.ndarray) -> float:
 
 
 def unclip(box: np.ndarray, ratio: float) -> np.ndarray | None:
-    """A rectangle grown on each side by area * ratio / perimeter."""
+    """A rectangle grown on each side by area * ratio / perimeter, its corners sorted again."""
     u, v = box[1] - box[0], box[3] - box[0]
     w, h = np.hypot(*u), np.hypot(*v)
     if not w or not h:
         return None
     d = w * h * ratio / (2 * (w + h))
     u, v = u / w * d, v / h * d
-    return box + np.array([-u - v, u - v, u + v, v - u])
+    return sort_corners(box + np.array([-u - v, u - v, u + v, v - u]))
 
 
 def boxes_of(prob: np.ndarray, width: int, height: int, config: Detector) -> list[tuple[np.ndarray, float]]:
@@ -222,11 +236,11 @@ def boxes_of(prob: np.ndarray, width: int, height: int, config: Detector) -> lis
     if config.use_dilation:
         mask = dilate(mask)
     out = []
-    for points, region in contours(mask)[: config.max_candidates]:
+    for points, (top, left, region) in contours(mask, config.max_candidates):
         box, side = min_area_rect(points)
         if side < config.min_side:
             continue
-        score = score_fast(prob, box) if config.score_mode == "fast" else score_slow(prob, region)
+        score = score_fast(prob, box) if config.score_mode == "fast" else score_slow(prob[top : top + region.shape[0], left : left + region.shape[1]], region)
         if score < config.box_thresh:
             continue
         grown = unclip(box, config.unclip_ratio)
@@ -250,6 +264,12 @@ def in_reading_order(found: list[tuple[np.ndarray, float]], gap: float) -> list[
     return sorted(lines, key=lambda f: (f[2], f[0][0, 0], f[0][0, 1]))
 
 
+def at_page_scale(crop: np.ndarray, ratio_h: float, ratio_w: float) -> np.ndarray:
+    """A crop of the detector's image in the size it has on the page, halves to even, one pixel at least."""
+    height, width = (max(int(np.rint(n * r)), 1) for n, r in zip(crop.shape, (ratio_h, ratio_w)))
+    return resize(crop, width, height)
+
+
 def perspective(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     """The 3 x 3 matrix that takes four points to four others."""
     rows, right = [], []

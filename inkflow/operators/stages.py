@@ -31,7 +31,7 @@ def _ms(since: float) -> int:
 
 
 def _image(row) -> np.ndarray:
-    return np.frombuffer(row.data, np.uint8).reshape(int(row.height), int(row.width), -1)
+    return pixels.colour(row.data, int(row.height), int(row.width))
 
 
 def plan_sizes(images: DataFrame, config: Config) -> DataFrame:
@@ -104,8 +104,12 @@ def classify(crops: DataFrame, config: Config, scorers: Scorers, batch_num: int
                 since, part = time.perf_counter(), has[at : at + size]
                 images = [_image(rows[i]) for i in part]
                 tensor = np.stack([pixels.line_tensor(x, height, min(int(np.ceil(height * np.float32(x.shape[1] / x.shape[0]))), width), width) for x in images])
-                scores = np.asarray(scorers.classify(tensor))
-                best = np.nanargmax(scores, axis=1)
+                try:
+                    scores = np.asarray(scorers.classify(tensor))
+                    best = pixels.best_class(scores, 1)
+                except Exception as e:  # the page's lines stay as they are
+                    out["error"] = out["error"].fillna(f"{type(e).__name__}: {e}")
+                    break
                 ms = _ms(since)
                 for n, (i, b, image) in enumerate(zip(part, best, images)):
                     out.at[i, "cls_label"], out.at[i, "cls_score"], out.at[i, "cls_ms"] = labels[b], float(scores[n, b]), ms if n == 0 else 0
@@ -133,8 +137,12 @@ def recognise(crops: DataFrame, config: Config, scorers: Scorers, batch_num: int
                 own = [max(np.float32(least / height), r) for r in ratios]
                 width = int(np.rint(float(np.float32(height) * max(own))))
                 tensor = np.stack([pixels.line_tensor(x, height, min(int(np.ceil(np.float32(height) * r)), int(np.rint(float(np.float32(height) * o)))), width) for x, r, o in zip(images, ratios, own)])
-                probs = np.asarray(scorers.recognize(tensor))
-                index = np.nanargmax(probs, axis=2)
+                try:
+                    probs = np.asarray(scorers.recognize(tensor))
+                    index = pixels.best_class(probs, 2)
+                except Exception as e:  # the page's lines that were read before stay
+                    out["error"] = out["error"].fillna(f"{type(e).__name__}: {e}")
+                    break
                 value = np.take_along_axis(probs, index[:, :, None], axis=2)[:, :, 0]
                 ms = _ms(since)
                 for n, i in enumerate(part):

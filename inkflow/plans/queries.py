@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..config import Config, Detector
 from ..functions import decode, geometry, text
 from ..operators import layout, pixels
+from ..sources import sinks
 from ..sources.models import Scorers
 from ..streaming import pages as streaming
 from .engine import Engine
@@ -128,16 +129,26 @@ def cls_rotate180(spark, sf_dir):
 # Probability maps
 
 
+def _masks(spark: SparkSession, sf_dir: str, function: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(vec_id, mask): the masks that a kernel makes of the maps, as strings of 0 and 1."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            masks = ["".join("01"[int(x)] for x in function(np.asarray(p, np.float32).reshape(8, 8)).ravel()) for p in frame.embedding]
+            yield pd.DataFrame({"vec_id": frame.vec_id, "mask": masks})
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, mask string")
+
+
 @query("select vec_id, list_aggregate(list_transform(embedding, lambda p: case when p > 0.1::float then '1' else '0' end), 'string_agg', '') as mask from embeddings")
 def db_threshold(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.expr("array_join(transform(embedding, p -> if(p > cast(0.1 as float), '1', '0')), '')").alias("mask"))
+    return _masks(spark, sf_dir, lambda prob: pixels.threshold(prob, np.float32(0.1)))
 
 
 @query("""with c as (select vec_id, i, embedding[i + 1] > 0.1::float as on_ from embeddings, range(64) x(i)), j as (select a.vec_id, a.i, bool_or(b.on_) as on_ from c a join c b
 on a.vec_id = b.vec_id and b.i in (a.i, a.i - 1, a.i - 8, a.i - 9) and b.i % 8 <= a.i % 8 group by all) select vec_id, string_agg(case when on_ then '1' else '0' end, '' order by i) as mask from j group by vec_id""")
 def db_dilate(spark, sf_dir):
-    on = lambda di, dj: f"if(i div 8 >= {di} and i % 8 >= {dj}, embedding[greatest(i - {8 * di + dj}, 0)] > cast(0.1 as float), false)"
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.expr(f"array_join(transform(embedding, (p, i) -> if({' or '.join(on(a, b) for a in (0, 1) for b in (0, 1))}, '1', '0')), '')").alias("mask"))
+    return _masks(spark, sf_dir, lambda prob: pixels.dilate(pixels.threshold(prob, np.float32(0.1))))
 
 
 def _boxes_of_maps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,15 +231,35 @@ def perspective_crop(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, height long, width long, mean double")
 
 
+@query("""select vec_id, round_even((vec_id % 13 + 1) * 1.5::double, 0)::bigint as height, round_even((vec_id % 20 + 1) * 2.25::double, 0)::bigint as width, (label % 10 * 20 + 5)::bigint as value from embeddings""")
+def map_crops_to_original(spark, sf_dir):
+    """Plain crops in the size they have on their page."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            crops = [pixels.at_page_scale(np.full((v % 13 + 1, v % 20 + 1, 3), x % 10 * 20 + 5, np.uint8), 1.5, 2.25) for v, x in zip(frame.vec_id, frame.label)]
+            yield pd.DataFrame({"vec_id": frame.vec_id, "height": [c.shape[0] for c in crops], "width": [c.shape[1] for c in crops], "value": [int(c.max()) if c.max() == c.min() else -1 for c in crops]})
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label").mapInPandas(run, "vec_id long, height long, width long, value long")
+
+
 _PIXEL = "least(255, greatest(0, cast(floor(p * 255 + 128) as int)))"
 
 
 @query("""with x as (select vec_id, list_transform(embedding, lambda p: least(255, greatest(0, floor(p::double * 255 + 128)::int))) as v from embeddings)
-select vec_id, list_sum(list_transform(v, lambda p: round_even(p / 255.0::double * 1000000, 0)::bigint))::bigint as v5_units, list_sum(list_transform(v, lambda p: round_even((p / 255.0::double - 0.5::double) / 0.5::double * 1000000, 0)::bigint))::bigint as v4_units from x""")
+select vec_id, list_sum(list_transform(v, lambda p: round_even(p / 255.0::double * 10000, 0)::bigint))::bigint as v5_units, list_sum(list_transform(v, lambda p: round_even((p / 255.0::double - 0.5::double) / 0.5::double * 10000, 0)::bigint))::bigint as v4_units from x""")
 def normalize_pixels(spark, sf_dir):
     x = table(spark, sf_dir, "embeddings").select("vec_id", F.expr(f"transform(cast(embedding as array<double>), p -> {_PIXEL})").alias("v"))
-    units = lambda e: F.expr(f"aggregate(v, 0L, (a, p) -> a + cast(bround(({e}) * 1000000, 0) as bigint))")
-    return x.select("vec_id", units("p / 255D").alias("v5_units"), units("(p / 255D - 0.5D) / 0.5D").alias("v4_units"))
+    # units of a ten-thousandth, as the kernel works in single precision
+    units = lambda x: int(np.rint(x[0].astype(float) * 10_000).sum())
+    half = (0.5, 0.5, 0.5)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            images = [np.repeat(np.asarray(v, np.uint8).reshape(8, 8, 1), 3, axis=2) for v in frame.v]
+            yield pd.DataFrame({"vec_id": frame.vec_id, "v5_units": [units(pixels.planar(i)) for i in images], "v4_units": [units(pixels.planar(i, half, half)) for i in images]})
+
+    return x.mapInPandas(run, "vec_id long, v5_units long, v4_units long")
 
 
 # Sizes
@@ -500,9 +531,12 @@ def stream_stage_times(spark, sf_dir):
     return spark.table(name)
 
 
-@query("select page_id, printf('%s: %d characters', url, length(html)) as report from pages")
+@query("""with p as (select url as image_path, length(html) % 5 as n, length(html) % 100 as d, page_id % 10 as c, page_id % 7 as r, case when page_id % 3 = 0 then 'a fault' end as error from pages)
+select image_path, printf('%s: %d boxes, %d ms (detect %d, classify %d, recognise %d)', image_path, n, d + c + r, d, c, r) || chr(10) || coalesce(error, 'text of ' || image_path) as report from p""")
 def text_report(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.format_string("%s: %d characters", "url", F.length("html")).alias("report"))
+    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("image_path"), F.expr("array_repeat(1, length(html) % 5)").alias("det"), F.expr("cast(length(html) % 100 as bigint)").alias("det_ms"), F.expr("page_id % 10").alias("cls_ms"),
+        F.expr("page_id % 7").alias("rec_ms"), F.expr("if(page_id % 3 = 0, 'a fault', null)").alias("error"), F.expr("concat('text of ', url)").alias("text_blocks"))
+    return sinks.report(pages)
 
 
 def _bright(tensor: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ def scan_files(spark: SparkSession, folder: str) -> DataFrame:
 def _decoded(images: DataFrame) -> DataFrame:
     """Rows of the built-in image source as IMAGE without an index; files that can't be decoded have an error."""
     ok = F.col("image.height") > 0
-    bad = F.when(~ok, "the file is no image that can be decoded").when(F.col("image.nChannels") != 3, "only images of three channels are read")
+    bad = F.when(~ok, "the file is no image that can be decoded").when(~F.col("image.nChannels").isin(1, 3, 4), "only images of one, three or four channels are read")
     part = lambda c: F.when(bad.isNull(), F.col(f"image.{c}"))
     return images.select(F.col("image.origin").alias("image_path"), part("height").alias("height"), part("width").alias("width"), part("nChannels").alias("n_channels"), part("data").alias("data"), bad.alias("error"))
 
@@ -53,20 +53,34 @@ _IMAGE_SOURCE = "image struct<origin: string, height: int, width: int, nChannels
 def list_images(spark: SparkSession, paths: list[str]) -> DataFrame:
     """IMAGE rows of the images among the paths; the index is the place in the list.
 
-    A path that is there twice gives two rows. The list is the caller's, so it fits the driver."""
+    A path that is there twice gives two rows, one that isn't there a row with an error. The list is the
+    caller's, so it fits the driver."""
     kept = [(i, p) for i, p in enumerate(paths) if os.path.splitext(p)[1].lower() in IMAGE_EXTENSIONS]
     if not kept:
         raise ValueError("the list has no image")
-    files = _decoded(spark.read.format("image").load(sorted({p for _, p in kept})))
-    bare = F.regexp_replace("image_path", "^file:/*", "/")
-    wanted = spark.createDataFrame([(i, p, os.path.abspath(p) if "://" not in p else p) for i, p in kept], "image_idx long, given string, absolute string")
-    found = wanted.join(files, (F.col("absolute") == bare) | (F.col("absolute") == F.col("image_path")), "left") if any("://" in p for _, p in kept) else wanted.join(files, F.col("absolute") == bare, "left")
+    whole = {p: _qualified(spark, p) for _, p in kept}
+    there = sorted({q for q, exists in whole.values() if exists})
+    wanted = spark.createDataFrame([(i, p, whole[p][0]) for i, p in kept], "image_idx long, given string, place string").withColumn("place", _plain("place"))
+    files = _decoded(spark.read.format("image").load(there)) if there else spark.createDataFrame([], IMAGE).drop("image_idx")
+    found = wanted.join(files.withColumn("place", _plain("image_path")), "place", "left")
     return found.select("image_idx", F.col("given").alias("image_path"), "height", "width", "n_channels", "data", F.when(F.col("image_path").isNull(), "the file isn't there").otherwise(F.col("error")).alias("error"))
 
 
+def _qualified(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """A path with its file system, and whether there is a file."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path if "://" in path else "file://" + os.path.abspath(path))
+    system = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(found).toString(), system.exists(found)
+
+
+def _plain(path: str):
+    """A path with one slash after its scheme, as names of one file may have one or more."""
+    return F.regexp_replace(path, "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+
+
 def memory_images(spark: SparkSession, images: list) -> DataFrame:
-    """IMAGE rows of uint8 arrays (height, width, 3)."""
-    rows = [(i, f"memory:{i}", x.shape[0], x.shape[1], x.shape[2] if x.ndim > 2 else 1, bytearray(x.tobytes()), None if x.ndim == 3 and x.shape[2] == 3 else "only images of three channels are read") for i, x in enumerate(images)]
+    """IMAGE rows of uint8 arrays (height, width), or (height, width, channels) with 1, 3 or 4 of them."""
+    rows = [(i, f"memory:{i}", x.shape[0], x.shape[1], x.shape[2] if x.ndim > 2 else 1, bytearray(x.tobytes()), None if x.ndim == 2 or x.ndim == 3 and x.shape[2] in (1, 3, 4) else "only images of one, three or four channels are read") for i, x in enumerate(images)]
     return spark.createDataFrame(rows, IMAGE)
 
 

@@ -42,7 +42,7 @@ def annotated(images: DataFrame, pages: DataFrame, text_score: float = 0.5) -> D
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                image = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, -1)
+                image = pixels.colour(row.data, row.height, row.width)
                 found = [(np.array([[q["x"], q["y"]] for q in b["box"]], float), b["score"]) for b in row.boxes]
                 name = "res_" + os.path.splitext(os.path.basename(row.image_path))[0] + ".png"
                 yield pd.DataFrame([(row.image_path, name, pixels.png(pixels.draw(image, found, text_score)))], columns=["image_path", "name", "content"])

@@ -150,3 +150,44 @@ def test_checks(spark, tmp_path):
 
 def test_alphabet():
     assert ALPHABET == ["blank", "a", "b", "c", " "]
+
+
+def _png_of(image, kind):
+    """A PNG file of grey (kind 0) or RGBA (kind 6) pixels."""
+    import zlib
+
+    chunk = lambda name, data: len(data).to_bytes(4, "big") + name + data + zlib.crc32(name + data).to_bytes(4, "big")
+    h, w = image.shape[:2]
+    rows = np.concatenate([np.zeros((h, 1), np.uint8), image.reshape(h, -1)], axis=1)
+    head = w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([8, kind, 0, 0, 0])
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def test_grey_and_transparent_images_and_missing_paths(spark, tmp_path):
+    page = picture((20, 20, RED))
+    (tmp_path / "grey.png").write_bytes(_png_of(page.max(axis=2), 0))
+    (tmp_path / "clear.png").write_bytes(_png_of(np.dstack([page[:, :, ::-1], np.full(page.shape[:2], 200, np.uint8)]), 6))
+    save(tmp_path, plain=page)
+    paths = [f"{tmp_path}/{x}.png" for x in ("grey", "clear", "gone")] + [f"file://{tmp_path}/plain.png", f"{tmp_path}/plain.png"]
+    images = sources.list_images(spark, paths)
+    assert "BroadcastNestedLoopJoin" not in images._jdf.queryExecution().toString()
+    got = {r.image_idx: r for r in engine(spark).pages(images).collect()}
+    assert [got[i].image_path for i in range(5)] == paths
+    assert got[2].error == "the file isn't there"
+    assert [got[i].text_blocks for i in (1, 3, 4)] == ["aa"] * 3
+    assert got[0].error is None and len(got[0].det) == 1
+
+
+def test_a_failing_model_call_ends_its_page_only(spark):
+    def fails_on_green(tensor):
+        if tensor.mean(axis=(2, 3))[:, 1].max() > tensor.mean(axis=(2, 3))[:, 0].max():
+            raise RuntimeError("no green, please")
+        return recognize(tensor)
+
+    def all_nan(tensor):
+        return np.full((len(tensor), 2), np.nan, np.float32)
+
+    images = sources.memory_images(spark, [picture((20, 20, RED)), picture((20, 20, GREEN))])
+    pages = {r.image_idx: r for r in Engine(spark, Scorers(detect, fails_on_green, all_nan), ALPHABET, CONFIG).pages(images).collect()}
+    assert (pages[0].text_blocks, pages[0].error, pages[0].cls[0].cls_label) == ("aa", None, "0")
+    assert pages[1].text_blocks == "" and "no green" in pages[1].error

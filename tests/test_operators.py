@@ -113,9 +113,11 @@ def test_components_and_contours():
     ring[7, 7] = ring[8, 8] = True
     assert pixels.label(ring).max() == 2 and pixels.label(ring, corners=False).max() == 3
     found = pixels.contours(ring)
-    assert len(found) == 3 and [r.sum() for _, r in found] == [25, 5, 2]
+    assert len(found) == 3 and [r.sum() for _, (_, _, r) in found] == [25, 5, 2]
     assert sorted(map(tuple, found[1][0])) == [(2, 3), (3, 2), (3, 4), (4, 3)]
-    assert pixels.contours(np.zeros((4, 4), bool)) == []
+    assert pixels.contours(np.zeros((4, 4), bool)) == [] and len(pixels.contours(ring, 2)) == 2
+    for _, (top, left, region) in found:  # regions are in their own rectangles, within the map
+        assert region.size <= 49 and top + region.shape[0] <= 9 and left + region.shape[1] <= 12
     rng = np.random.default_rng(2)
     for _ in range(20):
         mask = rng.random((15, 20)) < 0.5
@@ -191,3 +193,33 @@ def test_drawing(least, changed):
     image = np.zeros((20, 30, 3), np.uint8)
     out = pixels.draw(image, [(np.array([[5, 5], [20, 5], [20, 15], [5, 15]], float), 0.9)], least)
     assert out.shape == (20, 60, 3) and out[:, :30].any() == changed
+
+
+def test_corners_are_sorted_after_growing(spark):
+    for angle in (0, 20, 60, 80, 82, 85):
+        t = np.deg2rad(angle)
+        turn = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
+        box = pixels.sort_corners(np.array([[-50, -5], [50, -5], [50, 5], [-50, 5]]) @ turn.T + 100)
+        grown = pixels.unclip(box, 1.6)
+        assert np.array_equal(grown, pixels.sort_corners(grown))
+        assert np.allclose(xy(value(spark, geometry.unclip("p"), p=quad_of(box.tolist()))), grown)
+
+
+def test_scores_round_corners_to_the_nearest_pixel():
+    prob = np.arange(100.0).reshape(10, 10)
+    box = np.array([[1.6, 1.6], [5.4, 1.6], [5.4, 3.4], [1.6, 3.4]])
+    # the rectangle starts at (1, 1); its corners are at 0.6 and 4.4 in it, so at 1 and 4
+    assert pixels.score_fast(prob, box) == prob[2:4, 2:6].mean()
+
+
+def test_scores_that_are_no_numbers_and_channels():
+    nan = float("nan")
+    assert pixels.best_class(np.array([[nan, 1.0, 2.0], [nan, nan, nan], [3.0, nan, 3.0]]), 1).tolist() == [2, 0, 0]
+    assert pixels.colour(bytes([7, 9]), 1, 2).tolist() == [[[7, 7, 7], [9, 9, 9]]]
+    assert pixels.colour(bytes([1, 2, 3, 255]), 1, 1).tolist() == [[[1, 2, 3]]]
+
+
+def test_crops_at_page_scale():
+    crop = np.full((3, 5, 3), 9, np.uint8)
+    assert pixels.at_page_scale(crop, 1.5, 2.5).shape == (4, 12, 3)  # halves go to even
+    assert (pixels.at_page_scale(crop, 2, 2) == 9).all()
