@@ -37,7 +37,7 @@ from .common import Stored, documents, id_crc, in_arrow, partitions
 from .removal import pack, unpack
 
 #: Bytes of text of a block, and of a piece that is split into words at a time.
-BLOCK, PIECE = 8 << 20, 4 << 20
+BLOCK, PIECE = 5 << 20, 4 << 20
 SEED = 0
 #: The end token's hash, and the multipliers that mix the hashes of a pair.
 END, LEFT, RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), np.uint64(0xBF58476D1CE4E5B9)
