@@ -1,12 +1,12 @@
 """Benchmark decontamination: a prefix-filtered join of documents with item-sized windows.
 
 A document matches a window only if it holds the window's words in order, so it must hold the
-window's rarest word. Words are ordered by their count over all documents; that one necessary
-prefix word of each window, with its offset, is joined with the words of the documents. Length
-and position bounds discard alignments that leave the document, and the words of the rest are
-compared in full.
+window's rarest shingle of two words (its word, if it has but one). Shingles are ordered by their
+count over all documents; that one necessary prefix shingle of each window, with its offset, is
+joined with the shingles of the documents. Length and position bounds discard alignments that leave
+the document, and the words of the rest are compared in full.
 
-The windows' table is broadcast in blocks of bounded size: one block unless the benchmark is
+The windows' table is broadcast in blocks of bounded bytes: one block unless the benchmark is
 large, else one pass over the documents for each block.
 
 Nulls: a null text has no words, a null item id counts as the empty text. An item without words
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import Stored, _sql, documents, row_key, store, table
 
 WINDOW = 13
-#: Windows in one broadcast block; each holds up to 13 words and its item ids.
-BLOCK_WINDOWS = 200_000
+#: Bytes of the windows' words and item ids in one broadcast block.
+BLOCK_BYTES = 32 << 20
 #: Words of a segment of a document, without its overlaps.
 SEGMENT = 128
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,11 +42,21 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return items.select("item", F.expr(f"explode(if(size(w) <= {size}, array(w), transform(sequence(0, greatest(size(w) - {size}, 0)), i -> slice(w, i + 1, {size}))))").alias("win")).groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def prefixes(wins: DataFrame, docs: DataFrame) -> DataFrame:
-    """The windows with their rarest word (``token``) and its place (``off``)."""
-    vocabulary = Stored(wins.select(F.explode("win").alias("token")).distinct()).small()
-    counts = docs.select(F.explode(F.expr(_words())).alias("token")).join(vocabulary, "token").groupBy("token").agg(F.count("*").alias("n"))
-    placed = wins.select("win", F.posexplode("win").alias("off", "token")).join(Stored(counts).small(), "token", "left")
+def _shingles(w: str, single: bool) -> str:
+    """SQL for struct(at, token) of the two-word shingles of an array of words, with ``single`` of its words too.
+
+    A shingle has a space and so differs from every word."""
+    pairs = f"if(size({w}) > 1, transform(sequence(0, greatest(size({w}) - 2, 0)), i -> struct(i as at, concat({w}[i], ' ', {w}[i + 1]) as token)), array())"
+    return f"concat({pairs}, transform({w}, (x, i) -> struct(i as at, x as token)))" if single else pairs
+
+
+def prefixes(wins: DataFrame, docs: DataFrame, single: bool) -> DataFrame:
+    """The windows with their rarest shingle (``token``) and its place (``off``); ``single`` if some have one word."""
+    own = wins.select("win", F.explode(F.expr(f"filter({_shingles('win', single)}, t -> size(win) = 1 or instr(t.token, ' ') > 0)")).alias("t")).select("win", F.col("t.at").alias("off"), "t.token")
+    vocabulary = Stored(own.select("token").distinct()).small()
+    said = docs.select(F.expr(_words()).alias("w")).select(F.explode(F.expr(_shingles("w", single))).alias("t")).select("t.token")
+    counts = said.join(vocabulary, "token").groupBy("token").agg(F.count("*").alias("n"))
+    placed = own.join(Stored(counts).small(), "token", "left")
     first = placed.groupBy("win").agg(F.expr("min(struct(coalesce(n, 0L) as n, token, off))").alias("p"))
     return first.join(wins, "win").select("win", "items", F.col("p.token").alias("token"), F.col("p.off").alias("off"))
 
@@ -54,10 +64,10 @@ def prefixes(wins: DataFrame, docs: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = 20) -> DataFrame:
     """One row per document: its ``row_key`` as k, hit words and items; contaminated if ``share * n_hit >= n_words``."""
     wins = store(windows(benchmark, size))
-    total = wins.count()
-    blocks = max(1, -(-total // BLOCK_WINDOWS))
-    placed = store(prefixes(wins, docs))
-    found = [_matches(docs, placed.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == b) if blocks > 1 else placed, b == 0, size) for b in range(blocks)]
+    held = wins.agg(F.expr("sum(octet_length(array_join(win, ' ')) + octet_length(array_join(items, ' ')))").alias("bytes"), F.expr("min(size(win)) = 1").alias("single")).first()
+    blocks, single = max(1, -(-(held.bytes or 0) // BLOCK_BYTES)), bool(held.single)
+    placed = store(prefixes(wins, docs, single))
+    found = [_matches(docs, placed.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == b) if blocks > 1 else placed, b == 0, size, single) for b in range(blocks)]
     rows = reduce(DataFrame.unionByName, found)
     by_doc = rows.groupBy("doc_id", "k").agg(
         F.max("n_words").alias("n_words"), F.sum("head").alias("copies"), F.flatten(F.collect_set("hits")).alias("hits")
@@ -73,7 +83,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
     ).drop("copy")
 
 
-def _matches(docs: DataFrame, placed: DataFrame, header: bool, size: int) -> DataFrame:
+def _matches(docs: DataFrame, placed: DataFrame, header: bool, size: int, single: bool) -> DataFrame:
     """Verified windows of each document, and with ``header`` one row without any for every document.
 
     Documents are cut into segments that overlap by a window on both sides, so a token's row holds
@@ -84,8 +94,10 @@ def _matches(docs: DataFrame, placed: DataFrame, header: bool, size: int) -> Dat
     cut = f"""transform(if(size(w) = 0, array(0), sequence(0, greatest(size(w) - 1, 0), {SEGMENT})),
         s -> struct(s as s, least(s, {edge}) as lead, slice(w, greatest(s - {edge}, 0) + 1, least(s, {edge}) + {SEGMENT + edge}) as seg))"""
     segments = base.select("doc_id", "k", F.expr("cast(size(w) as bigint)").alias("n_words"), F.explode(F.expr(cut)).alias("x")).select("doc_id", "k", "n_words", "x.s", "x.lead", "x.seg")
-    # position 0 stands for the segment itself; tokens count from 1
-    tokens = segments.select("*", F.posexplode(F.expr(f"concat(array(cast(null as string)), slice(seg, lead + 1, {SEGMENT}))")).alias("at", "token"))
+    # place 0 stands for the segment itself, shingles count from 1; the last one's second word is in the overlap
+    here = f"filter({_shingles(f'slice(seg, lead + 1, {SEGMENT + 1})', single)}, t -> t.at < {SEGMENT})"
+    tokens = segments.select("*", F.explode(F.expr(f"concat(array(struct(0 as at, cast(null as string) as token)), transform({here}, t -> struct(t.at + 1 as at, t.token as token)))")).alias("t"))
+    tokens = tokens.select("doc_id", "k", "n_words", "s", "lead", "seg", "t.at", "t.token")
     kept = tokens.join(by_token, "token", "left").where("(at = 0 and s = 0) or cands is not null") if header else tokens.join(by_token, "token")
     verified = """transform(filter(coalesce(cands, array()), c -> lead + at - 1 >= c.off and lead + at - 1 - c.off + size(c.win) <= size(seg)
         and slice(seg, lead + at - c.off, size(c.win)) = c.win), c -> struct(s + at - 1 - c.off as start, size(c.win) as len, c.items as items))"""

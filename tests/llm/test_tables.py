@@ -36,14 +36,15 @@ def test_quality_of_odd_rows(spark):
     assert quality.quality(make(spark, [])).collect() == []
 
 
-@pytest.mark.parametrize("block", [200_000, 3])
+@pytest.mark.parametrize("block", [32 << 20, 200])
 def test_windows_in_odd_rows(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     item = " ".join(f"b{i}" for i in range(30))
     rows = ODD + [(100, f"own words {item} and others", "en", "a"), (101, "only tiny thing here", "en", "a"), (102, " ".join(item.split()[3:15]), "en", "a"), (103, ("x " * 300) + item, "en", "a")]
-    bench = spark.createDataFrame([(1, item), (2, "Tiny, THING"), (3, None), (4, ""), (None, "tiny thing")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "Tiny, THING"), (3, None), (4, ""), (None, "tiny thing"), (5, "Others")][: 6 if block > 200 else 5], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.contamination(make(spark, rows), bench).collect() if r.doc_id and r.doc_id >= 100}
-    assert (got[100].n_hit, got[100].n_items, got[100].contaminated) == (30, 1, True)
+    word = block > 200  # with an item of one word, and without
+    assert (got[100].n_hit, got[100].n_items, got[100].contaminated) == (30 + word, 1 + word, True)
     assert (got[101].n_hit, got[101].n_items) == (2, 2)  # the null id is an item of its own
     assert got[102].n_hit == 0 and not got[102].contaminated
     assert (got[103].n_words, got[103].n_hit) == (330, 30)
