@@ -42,17 +42,19 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return items.select("item", F.expr(f"explode(if(size(w) <= {size}, array(w), transform(sequence(0, greatest(size(w) - {size}, 0)), i -> slice(w, i + 1, {size}))))").alias("win")).groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def _shingles(w: str, single: bool) -> str:
-    """SQL for struct(at, token) of the two-word shingles of an array of words, with ``single`` of its words too.
+def _shingles(w: str, single: bool, most: int | None = None) -> str:
+    """SQL for struct(at, token) of the two-word shingles of a column of words, with ``single`` of its words too.
 
-    A shingle has a space and so differs from every word."""
-    pairs = f"if(size({w}) > 1, transform(sequence(0, greatest(size({w}) - 2, 0)), i -> struct(i as at, concat({w}[i], ' ', {w}[i + 1]) as token)), array())"
-    return f"concat({pairs}, transform({w}, (x, i) -> struct(i as at, x as token)))" if single else pairs
+    A shingle has a space and so differs from every word; the one that would start at the last word is null.
+    ``most`` is the number of words at which a shingle may start."""
+    numbered = lambda x: f"transform({x}, (t, i) -> struct(i as at, t as token))"
+    pairs = numbered(f"zip_with({w}, slice({w}, 2, greatest(size({w}), 1)), (a, b) -> concat(a, ' ', b))")
+    return f"concat({pairs}, {numbered(f'slice({w}, 1, {most})' if most else w)})" if single else pairs
 
 
 def prefixes(wins: DataFrame, docs: DataFrame, single: bool) -> DataFrame:
     """The windows with their rarest shingle (``token``) and its place (``off``); ``single`` if some have one word."""
-    own = wins.select("win", F.explode(F.expr(f"filter({_shingles('win', single)}, t -> size(win) = 1 or instr(t.token, ' ') > 0)")).alias("t")).select("win", F.col("t.at").alias("off"), "t.token")
+    own = wins.select("win", F.explode(F.expr(f"filter({_shingles('win', single)}, t -> t.token is not null and (size(win) = 1 or instr(t.token, ' ') > 0))")).alias("t")).select("win", F.col("t.at").alias("off"), "t.token")
     vocabulary = Stored(own.select("token").distinct()).small()
     said = docs.select(F.expr(_words()).alias("w")).select(F.explode(F.expr(_shingles("w", single))).alias("t")).select("t.token")
     counts = said.join(vocabulary, "token").groupBy("token").agg(F.count("*").alias("n"))
@@ -92,12 +94,11 @@ def _matches(docs: DataFrame, placed: DataFrame, header: bool, size: int, single
     base = docs.select("doc_id", row_key().alias("k"), F.expr(_words()).alias("w"))
     edge = size - 1
     cut = f"""transform(if(size(w) = 0, array(0), sequence(0, greatest(size(w) - 1, 0), {SEGMENT})),
-        s -> struct(s as s, least(s, {edge}) as lead, slice(w, greatest(s - {edge}, 0) + 1, least(s, {edge}) + {SEGMENT + edge}) as seg))"""
-    segments = base.select("doc_id", "k", F.expr("cast(size(w) as bigint)").alias("n_words"), F.explode(F.expr(cut)).alias("x")).select("doc_id", "k", "n_words", "x.s", "x.lead", "x.seg")
+        s -> struct(s as s, least(s, {edge}) as lead, slice(w, greatest(s - {edge}, 0) + 1, least(s, {edge}) + {SEGMENT + edge}) as seg, slice(w, s + 1, {SEGMENT + 1}) as own))"""
+    segments = base.select("doc_id", "k", F.expr("cast(size(w) as bigint)").alias("n_words"), F.explode(F.expr(cut)).alias("x")).select("doc_id", "k", "n_words", "x.s", "x.lead", "x.seg", "x.own")
     # place 0 stands for the segment itself, shingles count from 1; the last one's second word is in the overlap
-    here = f"filter({_shingles(f'slice(seg, lead + 1, {SEGMENT + 1})', single)}, t -> t.at < {SEGMENT})"
-    tokens = segments.select("*", F.explode(F.expr(f"concat(array(struct(0 as at, cast(null as string) as token)), transform({here}, t -> struct(t.at + 1 as at, t.token as token)))")).alias("t"))
-    tokens = tokens.select("doc_id", "k", "n_words", "s", "lead", "seg", "t.at", "t.token")
+    here = F.explode(F.expr(f"concat(array(struct(-1 as at, cast(null as string) as token)), {_shingles('own', single, SEGMENT)})")).alias("t")
+    tokens = segments.select("doc_id", "k", "n_words", "s", "lead", "seg", here).select("doc_id", "k", "n_words", "s", "lead", "seg", F.expr("t.at + 1 as at"), "t.token")
     kept = tokens.join(by_token, "token", "left").where("(at = 0 and s = 0) or cands is not null") if header else tokens.join(by_token, "token")
     verified = """transform(filter(coalesce(cands, array()), c -> lead + at - 1 >= c.off and lead + at - 1 - c.off + size(c.win) <= size(seg)
         and slice(seg, lead + at - c.off, size(c.win)) = c.win), c -> struct(s + at - 1 - c.off as start, size(c.win) as len, c.items as items))"""
