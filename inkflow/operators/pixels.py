@@ -197,11 +197,13 @@ def min_area_rect(points: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def fill(box: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    """Pixels whose centre is in or on a convex quad."""
+    """Pixels whose centre is in or on a convex quad, which may be a line or a point."""
     ys, xs = np.mgrid[: shape[0], : shape[1]]
     edge = np.roll(box, -1, axis=0) - box
     side = [dx * (ys - y) - dy * (xs - x) for (x, y), (dx, dy) in zip(box, edge)]
-    return np.all([s >= -1e-9 for s in side], axis=0) | np.all([s <= 1e-9 for s in side], axis=0)
+    (x0, y0), (x1, y1) = box.min(axis=0) - 1e-9, box.max(axis=0) + 1e-9
+    near = (xs >= x0) & (xs <= x1) & (ys >= y0) & (ys <= y1)
+    return near & (np.all([s >= -1e-9 for s in side], axis=0) | np.all([s <= 1e-9 for s in side], axis=0))
 
 
 def score_fast(prob: np.ndarray, box: np.ndarray) -> float:

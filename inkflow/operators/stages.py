@@ -53,9 +53,11 @@ def detect(images: DataFrame, config: Config, scorers: Scorers) -> DataFrame:
         since = time.perf_counter()
         image = pixels.pad_rows(pixels.resize(_image(row), int(row.b_w), int(row.b_h)), int(row.pad))
         norm = {} if config.version == "v5" else {"mean": det.mean, "std": det.std}
-        tensor = pixels.planar(pixels.resize(image, int(row.d_w), int(row.d_h)), **norm)[None]
+        scaled = pixels.resize(image, int(row.d_w), int(row.d_h))
+        tensor = scorers.prepare(scaled) if scorers.prepare else pixels.planar(scaled, **norm)[None]
         prob = np.asarray(scorers.detect(tensor))[0, 0]
-        found = pixels.in_reading_order(pixels.boxes_of(prob, image.shape[1], image.shape[0], det), det.line_gap)
+        boxes = (scorers.find or pixels.boxes_of)(prob, image.shape[1], image.shape[0], det)
+        found = pixels.in_reading_order(boxes, det.line_gap)
         ms = _ms(since)
         out = []
         for i, (box, score, line) in enumerate(found):

@@ -73,15 +73,39 @@ class Engine:
         """As ``batch``, with lines in batches."""
         return self.batch(source, save_dir, callback, batch_num=None)
 
-    def foreach(self, source, batch_num: int | None = 1) -> Iterator[Row]:
-        """Pages as they are done."""
-        return sinks.each(self.pages(self.images(source), batch_num))
+    def foreach(self, source, batch_num: int | None = 1, save_dir: str | None = None) -> Iterator[Row]:
+        """Pages one after the other, none of them kept at the driver; annotated images are written before."""
+        images = self.images(source)
+        pages = self.pages(images, batch_num)
+        return self._saved(images, pages, save_dir) if save_dir else sinks.each(pages)
+
+    def _saved(self, images: DataFrame, pages: DataFrame, save_dir: str) -> Iterator[Row]:
+        pages = pages.cache()
+        try:
+            sinks.save_annotated(sinks.annotated(images, pages, self.config.recognizer.text_score), save_dir)
+            yield from sinks.each(pages)
+        finally:
+            pages.unpersist()
 
-    def foreach_parallel(self, source) -> Iterator[Row]:
+    def foreach_parallel(self, source, save_dir: str | None = None) -> Iterator[Row]:
         """As ``foreach``, with lines in batches."""
-        return self.foreach(source, batch_num=None)
+        return self.foreach(source, batch_num=None, save_dir=save_dir)
 
-    def stream(self, folder: str, checkpoint: str, function: Callable[[DataFrame, int], None], batch_num: int | None = None, available_now: bool = True) -> StreamingQuery:
-        """A streaming query over the files that come to a folder; the function gets each batch's pages."""
+    def stream(self, folder: str, checkpoint: str, function: Callable[[DataFrame, int], None] | None = None, batch_num: int | None = None, available_now: bool = True, callback: Callable[[Row], None] | None = None) -> StreamingQuery:
+        """A streaming query over the files that come to a folder.
+
+        The function gets each batch's pages, at the driver; the callback each page, on an executor."""
         files = sources.stream_images(self.spark, folder, self.config.batch_pool_size)
-        return streaming.run(files, lambda images: self.pages(images, batch_num), checkpoint, function, available_now)
+
+        def done(pages: DataFrame, number: int) -> None:
+            if callback and function:
+                pages = pages.cache()
+            try:
+                if callback:
+                    sinks.call(pages, callback)
+                if function:
+                    function(pages, number)
+            finally:
+                pages.unpersist()
+
+        return streaming.run(files, lambda images: self.pages(images, batch_num), checkpoint, done, available_now)

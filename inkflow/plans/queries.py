@@ -199,36 +199,95 @@ def largest_component(spark, sf_dir):
     return layout.largest(_parts(spark, sf_dir), ["vec_id"], "cells", ["comp"])
 
 
-@query()
+@query(f"""{_PARTS}, f as (select n.vec_id, n.comp, avg(embedding[i + 1]::double) as fast from n join embeddings e on n.vec_id = e.vec_id, range(64) g(i) where i % 8 between x_min + 1 and x_max + 1 and i // 8 between y_min + 1 and y_max + 1 group by all)
+select n.vec_id, n.comp, coalesce(round(fast * 1000000), 0)::bigint as score_units from n left join f on n.vec_id = f.vec_id and n.comp = f.comp""")
+def box_score_off_grid(spark, sf_dir):
+    """Scores of boxes whose corners lie between pixels: they are rounded, so these move by one."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for vec, flat in zip(frame.vec_id, frame.embedding):
+                prob = np.asarray(flat, np.float32).reshape(8, 8)
+                numbers = pixels.label(pixels.threshold(prob, np.float32(0.1)))
+                for n in range(1, numbers.max() + 1):
+                    ys, xs = np.nonzero(numbers == n)
+                    box = np.array([[xs.min(), ys.min()], [xs.max(), ys.min()], [xs.max(), ys.max()], [xs.min(), ys.max()]]) + 0.6
+                    rows.append((vec, n - 1, int(round(pixels.score_fast(prob.astype(float), box) * 1e6))))
+            yield pd.DataFrame(rows, columns=["vec_id", "comp", "score_units"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, comp long, score_units long")
+
+
+# the least rectangle has a side along two of the points; its area is a fraction over at most 98, so 0.3 keeps off halves
+@query(f"""{_PARTS}, t as (select vec_id, root, i % 8 as x, i // 8 as y from m),
+d as (select distinct a.vec_id, a.root, b.x - a.x as dx, b.y - a.y as dy from t a join t b on a.vec_id = b.vec_id and a.root = b.root where b.x > a.x or b.x = a.x and b.y > a.y),
+e as (select d.vec_id, d.root, (max(dx * x + dy * y) - min(dx * x + dy * y)) * (max(dx * y - dy * x) - min(dx * y - dy * x)) * 1000::double / (dx * dx + dy * dy) as area from d join t on d.vec_id = t.vec_id and d.root = t.root group by d.vec_id, d.root, dx, dy),
+s as (select vec_id, root, min(area) as area from e group by all)
+select n.vec_id, n.comp, floor(coalesce(area, 0) + 0.3::double)::bigint as area_units from n left join s on n.vec_id = s.vec_id and n.root = s.root""")
 def min_area_rect(spark, sf_dir):
-    """Corners of the least rectangle around each map's set cells; kernels are tested by hand-made cases."""
+    """Area of the least rectangle around each component of the maps."""
 
-    def run(frames):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for vec, flat in zip(frame.vec_id, frame.embedding):
-                for n, (points, _) in enumerate(pixels.contours(np.asarray(flat, np.float32).reshape(8, 8) > 0.1)):
-                    box, side = pixels.min_area_rect(points)
-                    rows.append((vec, n, *map(float, box.ravel()), side))
-            yield pd.DataFrame(rows, columns=["vec_id", "contour", *(f"{c}{i}" for i in range(4) for c in "xy"), "side"])
+                numbers = pixels.label(pixels.threshold(np.asarray(flat, np.float32).reshape(8, 8), np.float32(0.1)))
+                for n in range(1, numbers.max() + 1):
+                    ys, xs = np.nonzero(numbers == n)
+                    box, _ = pixels.min_area_rect(np.stack([xs, ys], axis=1))
+                    area = np.hypot(*(box[1] - box[0])) * np.hypot(*(box[3] - box[0]))
+                    rows.append((vec, n - 1, int(np.floor(area * 1000 + 0.3))))
+            yield pd.DataFrame(rows, columns=["vec_id", "comp", "area_units"])
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, contour long, " + ", ".join(f"{c}{i} double" for i in range(4) for c in "xy") + ", side double")
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, comp long, area_units long")
 
 
-@query()
+_PIXEL = "least(255, greatest(0, cast(floor(p * 255 + 128) as int)))"
+_PIXELS = "list_transform(embedding, lambda p: least(255, greatest(0, floor(p::double * 255 + 128)::int))) as v"
+
+
+def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.expr(f"transform(cast(embedding as array<double>), p -> {_PIXEL})").alias("v"))
+
+
+@query(f"""with v as (select vec_id, {_PIXELS}, vec_id % 3 as x0, vec_id % 4 as y0, 2 + vec_id // 3 % 4 as w, 2 + vec_id // 12 % 3 as h from embeddings),
+p as (select vec_id, w, h, h * 2 >= w * 3 as turned, i % 8 - x0 as c, i // 8 - y0 as r, v[i + 1] as p from v, range(64) g(i) where i % 8 between x0 and x0 + w - 1 and i // 8 between y0 and y0 + h - 1)
+select vec_id, any_value(case when turned then w else h end)::bigint as height, any_value(case when turned then h else w end)::bigint as width, sum(p * case when turned then c * 8 + h - 1 - r else r * 8 + c end)::bigint as weighed from p group by vec_id""")
 def perspective_crop(spark, sf_dir):
-    """Size and mean of a slanted quad cut from each map."""
+    """Upright quads cut from the maps, high ones turned: sizes, and the pixels weighed by their place. Slanted ones are in the tests."""
 
-    def run(frames):
+    def cut(vec: int, values) -> tuple[int, int, int, int]:
+        image = np.repeat(np.asarray(values, np.uint8).reshape(8, 8, 1), 3, axis=2)
+        x, y, w, h = vec % 3, vec % 4, 2 + vec // 3 % 4, 2 + vec // 12 % 3
+        crop = pixels.crop_quad(image, np.array([[x, y], [x + w, y], [x + w, y + h], [x, y + h]], float))
+        rows, columns = np.mgrid[: crop.shape[0], : crop.shape[1]]
+        return vec, *crop.shape[:2], int((crop[:, :, 0].astype(int) * (rows * 8 + columns)).sum())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([cut(*x) for x in zip(frame.vec_id, frame.v)], columns=["vec_id", "height", "width", "weighed"])
+
+    return _pixels(spark, sf_dir).mapInPandas(run, "vec_id long, height long, width long, weighed long")
+
+
+@query("""with b as (select vec_id, vec_id % 50 as x0, label % 30 as y0, 20 + vec_id % 40 as w, vec_id % 5 + 1.5::double as l, vec_id % 2 = 1 as v from embeddings),
+c as (select *, unnest([0, 1, 2, 3]) as corner, unnest([l, l + 4, l + 4, l]) as x, unnest([2.5::double, 2.5::double, 8.5::double, 8.5::double]) as y from b)
+select vec_id, corner::bigint as corner, trunc(case when v then w - y else x end + x0)::bigint as page_x, trunc(case when v then x else y end + y0)::bigint as page_y from c""")
+def unwarp_word_boxes(spark, sf_dir):
+    """A cell of an upright line, or of one that was turned, in the coordinates of its page."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for vec, flat in zip(frame.vec_id, frame.embedding):
-                image = np.repeat(np.clip(np.asarray(flat).reshape(8, 8, 1) * 255 + 128, 0, 255).astype(np.uint8), 3, axis=2)
-                crop = pixels.crop_quad(pixels.resize(image, 32, 32), np.array([[4, 2], [28, 6], [26, 20], [2, 16]], float))
-                rows.append((vec, *crop.shape[:2], float(crop.mean())))
-            yield pd.DataFrame(rows, columns=["vec_id", "height", "width", "mean"])
+            for vec, about in zip(frame.vec_id, frame.label):
+                x, y, w, h, left = vec % 50, about % 30, 20 + vec % 40, 10 + vec % 7, vec % 5 + 1.5
+                box = np.array([[x, y], [x + w, y], [x + w, y + h], [x, y + h]], float)
+                cell = np.array([[[left, 2.5], [left + 4, 2.5], [left + 4, 8.5], [left, 8.5]]])
+                rows += [(vec, n, int(a), int(b)) for n, (a, b) in enumerate(pixels.to_page(box, cell, vec % 2 == 1)[0])]
+            yield pd.DataFrame(rows, columns=["vec_id", "corner", "page_x", "page_y"])
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, height long, width long, mean double")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label")).mapInPandas(run, "vec_id long, corner long, page_x long, page_y long")
 
 
 @query("""select vec_id, round_even((vec_id % 13 + 1) * 1.5::double, 0)::bigint as height, round_even((vec_id % 20 + 1) * 2.25::double, 0)::bigint as width, (label % 10 * 20 + 5)::bigint as value from embeddings""")
@@ -243,13 +302,10 @@ def map_crops_to_original(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", "label").mapInPandas(run, "vec_id long, height long, width long, value long")
 
 
-_PIXEL = "least(255, greatest(0, cast(floor(p * 255 + 128) as int)))"
-
-
-@query("""with x as (select vec_id, list_transform(embedding, lambda p: least(255, greatest(0, floor(p::double * 255 + 128)::int))) as v from embeddings)
+@query(f"""with x as (select vec_id, {_PIXELS} from embeddings)
 select vec_id, list_sum(list_transform(v, lambda p: round_even(p / 255.0::double * 10000, 0)::bigint))::bigint as v5_units, list_sum(list_transform(v, lambda p: round_even((p / 255.0::double - 0.5::double) / 0.5::double * 10000, 0)::bigint))::bigint as v4_units from x""")
 def normalize_pixels(spark, sf_dir):
-    x = table(spark, sf_dir, "embeddings").select("vec_id", F.expr(f"transform(cast(embedding as array<double>), p -> {_PIXEL})").alias("v"))
+    x = _pixels(spark, sf_dir)
     # units of a ten-thousandth, as the kernel works in single precision
     units = lambda x: int(np.rint(x[0].astype(float) * 10_000).sum())
     half = (0.5, 0.5, 0.5)

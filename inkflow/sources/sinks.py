@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ def collected(pages: DataFrame, order: str = "image_idx") -> list[Row]:
 
 
 def each(pages: DataFrame) -> Iterator[Row]:
-    """Pages as partitions are done, one partition at the driver at a time."""
-    return pages.toLocalIterator()
+    """Pages by partition, the next one fetched meanwhile. The networks run in the stage before, on all partitions at once."""
+    return pages.toLocalIterator(prefetchPartitions=True)
 
 
 def call(pages: DataFrame, function: Callable[[Row], None]) -> None:
@@ -51,14 +53,19 @@ def annotated(images: DataFrame, pages: DataFrame, text_score: float = 0.5) -> D
 
 
 def save_annotated(drawn: DataFrame, folder: str) -> None:
-    """Writes annotated images into a folder that all executors share, replacing files of that name."""
-    os.makedirs(folder, exist_ok=True)
+    """Writes annotated images into a folder that all executors reach, replacing files of that name.
+
+    The folder is a path or an address that Arrow's file systems know, such as file, hdfs, s3 or gs."""
+    place = folder if "://" in folder else os.path.abspath(folder)
+    system, base = FileSystem.from_uri(place)
+    system.create_dir(base, recursive=True)
 
     def write(rows: Iterator[Row]) -> None:
+        system, base = FileSystem.from_uri(place)
         for row in rows:
-            path = os.path.join(folder, row.name)
-            with open(f"{path}.part", "wb") as f:
-                f.write(row.content)
-            os.replace(f"{path}.part", path)  # a task that runs again leaves the same file
+            part = f"{base}/{row.name}.{uuid.uuid4().hex}.part"
+            with system.open_output_stream(part) as f:
+                f.write(bytes(row.content))
+            system.move(part, f"{base}/{row.name}")  # a task that runs again leaves the same file
 
     drawn.foreachPartition(write)

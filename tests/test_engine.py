@@ -12,7 +12,7 @@ from inkflow.operators import pixels
 from inkflow.plans.engine import Engine
 from inkflow.sources import images as sources
 from inkflow.sources import sinks
-from inkflow.sources.models import Scorers, alphabet
+from inkflow.sources.models import OnnxScorer, Scorers, alphabet, alphabet_of_model
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this file
 ALPHABET = alphabet("a\nb\nc")
@@ -191,3 +191,71 @@ def test_a_failing_model_call_ends_its_page_only(spark):
     pages = {r.image_idx: r for r in Engine(spark, Scorers(detect, fails_on_green, all_nan), ALPHABET, CONFIG).pages(images).collect()}
     assert (pages[0].text_blocks, pages[0].error, pages[0].cls[0].cls_label) == ("aa", None, "0")
     assert pages[1].text_blocks == "" and "no green" in pages[1].error
+
+
+def _varint(n):
+    return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + _varint(n >> 7)
+
+
+def _message(*fields):
+    """Fields (number, integer, text or message) in the wire format of model files."""
+    out = b""
+    for number, value in fields:
+        if isinstance(value, int):
+            out += _varint(number << 3) + _varint(value)
+        else:
+            value = value.encode() if isinstance(value, str) else value
+            out += _varint(number << 3 | 2) + _varint(len(value)) + value
+    return out
+
+
+def _model(alphabet_lines):
+    """A model that takes the mean over the channels, with an alphabet in its metadata."""
+    shape = _message(*((1, _message((2, n))) for n in "nchw"))
+    tensor = lambda name: _message((1, name), (2, _message((1, _message((1, 1), (2, shape))))))
+    node = _message((1, "x"), (2, "y"), (4, "ReduceMean"), (5, _message((1, "axes"), (8, 1), (20, 7))))
+    graph = _message((1, node), (2, "g"), (11, tensor("x")), (12, tensor("y")))
+    return _message((1, 8), (7, graph), (8, _message((1, ""), (2, 13))), (14, _message((1, "character"), (2, alphabet_lines))))
+
+
+def test_model_files_reach_the_executors(spark, tmp_path):
+    path = tmp_path / "mean.onnx"
+    path.write_bytes(_model("a\nb\nc"))
+    assert alphabet_of_model(str(path)) == ALPHABET
+    sent = OnnxScorer(str(path)).shipped(spark)
+    assert sent.path == "mean.onnx"
+    row = Engine(spark, Scorers(sent, recognize), ALPHABET, CONFIG).recognize(picture((20, 20, RED)))
+    assert (row.text_blocks, row.error) == ("aa", None)
+    with pytest.raises(ValueError):
+        OnnxScorer("m.onnx", "abacus")(np.zeros((1, 3, 4, 4), np.float32))
+
+
+def test_own_preparation_and_boxes(spark):
+    def dark(image):
+        return 1 - pixels.planar(image)[None]
+
+    def one(prob, width, height, config):
+        assert prob[0, 0] > 0.5
+        return [(np.array([[20, 20], [110, 20], [110, 44], [20, 44]], float), 0.75)]
+
+    row = Engine(spark, Scorers(detect, recognize, prepare=dark, find=one), ALPHABET, CONFIG).recognize(picture((20, 20, RED)))
+    assert row.text_blocks == "aa" and [d.det_score for d in row.det] == [0.75]
+
+
+def test_callbacks_on_a_stream_and_saving_on_iterators(spark, tmp_path):
+    files, out, seen = tmp_path / "in", str(tmp_path / "out"), tmp_path / "seen"
+    files.mkdir(), seen.mkdir()
+    save(files, one=picture((20, 20, RED)), two=picture((20, 20, GREEN)))
+    own = engine(spark)
+    said = lambda page: (seen / page.text_blocks).touch()
+    batches = []
+    assert own.stream(str(files), str(tmp_path / "state"), lambda pages, n: batches.append(pages.count()), callback=said).awaitTermination(120)
+    assert sorted(os.listdir(seen)) == ["aa", "bb"] and sum(batches) == 2
+    assert sorted(r.text_blocks for r in own.foreach_parallel(str(files), save_dir=f"file://{out}")) == ["aa", "bb"]
+    assert sorted(os.listdir(out)) == ["res_one.png", "res_two.png"]
+
+
+def test_a_box_without_area_covers_its_own_pixels_only():
+    prob = np.arange(16.0).reshape(4, 4)
+    assert pixels.score_fast(prob, np.array([[1.6, 1.6]] * 4)) == prob[2, 2]
+    assert pixels.score_fast(prob, np.array([[0.6, 1], [1.6, 1], [1.6, 1], [0.6, 1]])) == prob[1, 1:3].mean()
