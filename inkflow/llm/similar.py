@@ -44,6 +44,8 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 40, 5
 #: Nodes of a bucket that become centres in the first round after the first centre, the growth, and the most in a round.
 CENTRES, GROWTH, MOST_CENTRES = 32, 16, 512
+#: Rows of a key that one task may get together; a key with more is hot.
+HOT = 4096
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -155,6 +157,21 @@ def spread(rows: DataFrame, side: Stored) -> DataFrame:
     return rows.join(side.small(), "key") if side.is_small else dealt_join(rows, "key", "node", side.df)
 
 
+def shared_keys(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those of ``rows`` (key, node, ...) whose key several have, with n, how many.
+
+    Counts too large to broadcast meet the rows by one shuffle of them. Rows of hot keys stay where they are:
+    there are few such keys, as each has more than ``HOT`` rows, so their counts are broadcast."""
+    counts = scratch.stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    if counts.is_small:
+        return rows.join(counts.small(), "key")
+    hot = scratch.stored(counts.df.where(f"n > {HOT}"))
+    if not hot.is_small:
+        return dealt_join(rows, "key", "node", counts.df)
+    cold = rows.join(F.broadcast(hot.df.select("key")), "key", "left_anti")
+    return cold.join(counts.df.where(f"n <= {HOT}"), "key").union(rows.join(hot.small(), "key"))
+
+
 class Linker:
     """Verified links between nodes, and the components they join so far."""
 
@@ -204,7 +221,7 @@ def prefixes(texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), node.as_py())), pa.array(keys), pa.array(np.full(len(keys), len(keys)))], names=["node", "key", "size"])
 
     grams = scratch.store(texts.transform(in_arrow, run, "node long, key long, size long"))
-    shared = spread(grams, scratch.stored(grams.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")))
+    shared = shared_keys(grams, scratch)
     # shingles of one node only come first in the order
     ranked = shared.select("node", "key", "size", F.expr("row_number() over (partition by node order by n, key) - 1 + size - count(*) over (partition by node)").alias("at"))
     return ranked.where(f"at <= size - ceil({least}D * size - 1e-9D)")
@@ -216,7 +233,7 @@ class Buckets:
     def __init__(self, linker: Linker, keyed: DataFrame, scratch: Scratch):
         self.linker = linker
         with Scratch() as own:
-            shared = own.store(spread(keyed, own.stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))))
+            shared = own.store(shared_keys(keyed, own))
             self.rows = scratch.store(shared.join(shared.groupBy("node").agg(F.sum("n").alias("weight")), "node").select("key", "node", "weight", "at", "size"))
         self.first = scratch.stored(self.rows.groupBy("key").agg(F.expr("max(struct(weight, node, at, size))").alias("c")).select("key", F.col("c.node").alias("centre"), F.struct("c.node", "c.at", "c.size").alias("c")))
 

@@ -4,7 +4,7 @@ import random
 import numpy as np
 from fixtures import ODD, make
 
-from inkflow.llm import graph, similar
+from inkflow.llm import common, graph, similar
 from inkflow.llm.common import documents
 
 DATA = "/root/testdata"
@@ -126,6 +126,51 @@ def test_unlike_nodes_of_one_bucket_all_have_their_turn(spark):
     assert partition_of(spark, texts) == labels_of(len(texts), list(links))
 
 
+def written(spark):
+    """Shuffle bytes that the session's tasks have written so far."""
+    jvm = spark.sparkContext._jsc.sc()
+    jvm.listenerBus().waitUntilEmpty()
+    found = jvm.statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_prefixes_shuffle_their_rows_little_when_counts_are_not_broadcast(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(300):  # pairs of copies: every shingle but a few is shared
+        w = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        texts += [" ".join(w), " ".join([*w[:299], "edit"])]
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+
+    def run():
+        with common.Scratch() as scratch:
+            before = written(spark)
+            rows = sorted(map(tuple, similar.prefixes(nodes, similar.LEAST, scratch).select("node", "key", "at", "size").collect()))
+            return rows, written(spark) - before
+
+    want, least = run()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 64 << 10)  # the counts are larger
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, most = run()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want and len(got) > 10_000
+    assert most < 3 * least, (most, least)
+
+
+def test_rows_of_shared_keys(spark, monkeypatch):
+    rows = [(k, n, k + n) for k in range(3000) for n in range(1 + k % 3)] + [(-1, n, n) for n in range(500)] + [(-2, n, n) for n in range(41)]
+    df = spark.createDataFrame(rows, "key long, node long, x long")
+    of = {k: sum(r[0] == k for r in rows) for k in (-1, -2)} | {k: 1 + k % 3 for k in range(3000)}
+    want = sorted((k, n, x, of[k]) for k, n, x in rows if of[k] > 1)
+    monkeypatch.setattr(similar, "HOT", 40)
+    for most in (1 << 20, 4 << 10, 0):  # the counts are broadcast, those of hot keys, none
+        monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+        with common.Scratch() as scratch:
+            assert sorted(map(tuple, similar.shared_keys(df, scratch).select("key", "node", "x", "n").collect())) == want
+
+
 def test_sketches_bound_what_sets_share():
     rng = np.random.default_rng(2)
     for n, m, both in ((40, 50, 30), (5, 900, 5), (3000, 2000, 1500), (1, 1, 0)):
